@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.cooccurrence import cooccurring_pairs
+from sextant.llm.linkage import link
 from sextant.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracker items and the changes of the same task."""
+    return link(table(spark, sf_dir, "tracker_items"), table(spark, sf_dir, "task_index")).select("item_id", "pr")
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with task and confidence."""
+    return link(table(spark, sf_dir, "tracker_items"), table(spark, sf_dir, "task_index"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of paths that change together."""
     return cooccurring_pairs(table(spark, sf_dir, "task_index"), "pr", "files.f").select(F.col("item_a").alias("f_a"), F.col("item_b").alias("f_b"))
