@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.llm import consensus as C
 from sextant.llm.cooccurrence import cooccurring_pairs
 from sextant.llm.linkage import link
 from sextant.runtime import table
@@ -22,6 +23,30 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "tracker_items"), table(spark, sf_dir, "task_index"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus of each item with votes of three users or more."""
+    items, _ = C.discover(C.last_votes(table(spark, sf_dir, "feedback")))
+    return C.consensus(items).select("item_id", "consensus")
+
+
+def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with confidence and agreement."""
+    items, _ = C.discover(C.last_votes(table(spark, sf_dir, "feedback")))
+    return C.consensus(items)
+
+
+def p4_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reliability of each user."""
+    _, sources = C.discover(C.last_votes(table(spark, sf_dir, "feedback")))
+    return C.reliability(sources)
+
+
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement over all items."""
+    out = C.overall_agreement(C.last_votes(table(spark, sf_dir, "feedback")))
+    return out.select("n_items", *(F.round(c, 6).alias(c) for c in ("agreement", "by_chance", "kappa")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of paths that change together."""
     return cooccurring_pairs(table(spark, sf_dir, "task_index"), "pr", "files.f").select(F.col("item_a").alias("f_a"), F.col("item_b").alias("f_b"))
@@ -43,7 +68,20 @@ p AS (SELECT p.f AS f_a, q.f AS f_b, count(*) AS n_ab FROM b p JOIN b q ON p.pr
 r AS (SELECT f_a, f_b, n_ab, sa.k AS n_a, sb.k AS n_b, n FROM p JOIN s sa ON sa.f = f_a JOIN s sb ON sb.f = f_b CROSS JOIN n WHERE n_ab * n >= 3 * sa.k * sb.k)
 """
 
+_UP, _DOWN = (", ".join(f"'{x}'" for x in words) for words in (C.UP, C.DOWN))
+_VOTES = f"""
+WITH a AS (SELECT item_id, lower(trim("user")) AS u, lower(trim(verdict)) AS vd, "at", feedback_id FROM feedback WHERE item_id IS NOT NULL),
+b AS (SELECT *, CASE WHEN vd IN ({_UP}) THEN 1 WHEN vd IN ({_DOWN}) THEN 0 END AS up FROM a WHERE u NOT IN ('', 'anonymous')),
+c AS (SELECT item_id, u, up, row_number() OVER (PARTITION BY item_id, u ORDER BY "at" DESC NULLS LAST, feedback_id DESC) AS rn FROM b WHERE up IS NOT NULL),
+v AS (SELECT item_id, u, up FROM c WHERE rn = 1)
+"""
+
 SQL = {
+    "p4_agreement": _VOTES
+    + """, i AS (SELECT item_id, count(*) AS n, sum(up) AS k FROM v GROUP BY 1 HAVING count(*) > 1),
+    o AS (SELECT count(*) AS n_items, avg((k * (k - 1) + (n - k) * (n - k - 1)) / (n * (n - 1))) AS agreement, sum(k) / sum(n) AS p FROM i)
+    SELECT n_items, round(agreement, 6) AS agreement, round(p * p + (1 - p) * (1 - p), 6) AS by_chance,
+    round((agreement - (p * p + (1 - p) * (1 - p))) / (1 - (p * p + (1 - p) * (1 - p))), 6) AS kappa FROM o""",
     "p5_found": _PAIRS + "SELECT f_a, f_b FROM r",
     "p5_scores": _PAIRS
     + """SELECT f_a, f_b, n_ab, n_a, n_b, round(n_ab * n / (n_a * n_b), 6) AS lift,
