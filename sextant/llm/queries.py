@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sextant.llm import consensus as C
 from sextant.llm.cooccurrence import cooccurring_pairs
 from sextant.llm.linkage import link
-from sextant.runtime import table
+from sextant.llm import mixing, packing
+from sextant.llm.tokens import sized_documents
+from sextant.runtime import cut, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,26 @@ def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item_a").alias("f_a"), F.col("item_b").alias("f_b"), "n_ab", "n_a", "n_b", score("lift"), score("conviction_ab"), score("conviction_ba"))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text, for each capacity."""
+    return packing.pack(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "container_specs"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.report(p6_pack(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return mixing.balance(cut(sized_documents(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens that each source has reached."""
+    return mixing.balance(cut(sized_documents(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))[1]
+
+
 _PAIRS = """
 WITH x AS (SELECT DISTINCT pr, unnest(files).f AS f FROM task_index WHERE pr IS NOT NULL),
 b AS (SELECT * FROM x WHERE f IS NOT NULL),
