@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant.llm import consensus as C
 from sextant.llm.cooccurrence import cooccurring_pairs
 from sextant.llm.linkage import link
-from sextant.llm import mixing, packing
+from sextant.llm import langid, mixing, packing
 from sextant.llm.tokens import sized_documents
 from sextant.runtime import cut, table
 
@@ -81,6 +81,28 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(cut(sized_documents(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return docs, cut(langid.segments(docs, langid.fit(docs)))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs and their languages, of documents with a missing or wrong label or several languages."""
+    docs, segs = _languages(spark, sf_dir)
+    wrong = langid.relabel(docs, segs).where("problem is not null").select("doc_id").distinct()
+    return segs.join(wrong, "doc_id", "left_semi").select("doc_id", "para_no", "lang")
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, beside its label."""
+    return langid.relabel(*_languages(spark, sf_dir))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of each paragraph."""
+    return _languages(spark, sf_dir)[1]
+
+
 _PAIRS = """
 WITH x AS (SELECT DISTINCT pr, unnest(files).f AS f FROM task_index WHERE pr IS NOT NULL),
 b AS (SELECT * FROM x WHERE f IS NOT NULL),
