@@ -10,11 +10,26 @@ from pyspark.sql import functions as F
 from sextant.llm import consensus as C
 from sextant.llm.cooccurrence import cooccurring_pairs
 from sextant.llm.linkage import link
-from sextant.llm import langid, mixing, packing
+from sextant.llm import langid, mixing, packing, pii
 from sextant.llm.tokens import sized_documents
 from sextant.runtime import cut, table
 
 
+def _private(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Detector]:
+    rows = pii.rows_of(table(spark, sf_dir, "jira_issues"), table(spark, sf_dir, "jira_comments"))
+    return rows, pii.fit(rows)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal data."""
+    return pii.spans(*_private(spark, sf_dir)).select("origin", "row_id", "kind", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with placeholders."""
+    return pii.redact(*_private(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracker items and the changes of the same task."""
     return link(table(spark, sf_dir, "tracker_items"), table(spark, sf_dir, "task_index")).select("item_id", "pr")
