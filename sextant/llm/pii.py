@@ -33,7 +33,7 @@ from sextant.llm import boosting
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Texts that the trees are trained on at most, and candidates of a kind.
-SAMPLE_TEXTS, SAMPLE_CANDIDATES = 6000, 12000
+SAMPLE_TEXTS, SAMPLE_CANDIDATES = 5000, 10000
 #: Cells of the count sketch of name words; it has two rows for each role.
 CELLS = 1 << 17
 #: Different words that a given name stands beside at least.
@@ -58,7 +58,7 @@ STREETS_JOINED = r"stra(?:ß|ss)e|str\.|gasse|weg|platz|allee"
 CONNECTORS = {"da", "de", "do", "das", "dos", "del", "di", "van", "von"}
 
 _NAME_PART = r"[^\W\d_][\w'’-]*"
-_PLACE = r"[A-ZÀ-Ý][\w'’]+(?: (?:d[aeo]s? )?[A-ZÀ-Ý][\w'’]+)*"
+_PLACE = r"[A-ZÀ-Ý]\w+(?: (?:d[aeo]s? )?[A-ZÀ-Ý]\w+)*"
 _TAIL = rf"(?:(?:,| -|,? –)? ?\b(?:apto\.?|ap\.|apt\.?|casa|bloco|Flat|CEP|cep|piso|\d{{1,2}}º)\s*[\w-]*)*(?:(?:,| -) {_PLACE}){{0,3}}(?:,? (?:CEP )?\d{{5}}-?\d{{3}}\b)?"
 ADDRESS = [
     re.compile(rf"(?<!\w)(?:{STREETS})\s+(?:{_NAME_PART}\s+){{0,5}}?{_NAME_PART},?\s*(?:n[º°.o]*\s*)?\d{{1,5}}\b{_TAIL}"),
@@ -72,11 +72,13 @@ EMAIL = [
     re.compile(r"[\w.+%-]+ ?[\[({] ?(?:at|arroba|@) ?[\])}] ?[\w-]+(?:(?:\.| ?[\[({] ?(?:dot|ponto|punto) ?[\])}] ?| (?:dot|ponto|punto) )[\w-]+)+", re.I),
     re.compile(r"[\w.+%-]+ (?:at|arroba) [\w-]+(?: (?:dot|ponto|punto) [\w-]+)+", re.I),
 ]
-NUMBER = re.compile(r"(?<![\w.,/-])(?:[+(]\s?)?\d(?:[ .\-/()]{0,2}\d)*(?!-?\w|[.,/]\d)")
+NUMBER = re.compile(r"(?<![\w.,/-])(?:[+(]\s?)?\d(?:[ .\-/()]{0,2}\d)*(?:-[Xx])?(?!-?\w|[.,/]\d)")
 PASSPORT = re.compile(r"(?<![\w-])[A-Z]{1,3}\d{6,8}(?![\w-])")
 TOKEN = re.compile(r"[^\W\d_]+")
 LOGIN = re.compile(r"(?<![\w./-])[^\W\d_]+[._][^\W\d_]+(?![\w./@-]*[\w/@])")
 WORD = re.compile(r"[^\W_]+")
+SENTENCE_START, SENTENCE_END = re.compile(r"\n|(?<=\w{4})[.!?…]\s"), re.compile(r"\n|[.!?…](?:\s|$)")
+NETWORK = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 ID_FORMATS = re.compile(r"\d{3}\.\d{3}\.\d{3}-\d\d|\d{3} \d{3} \d{3} \d\d|\d{1,2}\.\d{3}\.\d{3}-[\dXx]|\d{3}-\d\d-\d{4}|\d{3} \d{4} \d{4} \d{4}")
 
 
@@ -114,8 +116,13 @@ def learn_names(display_names: DataFrame) -> Names:
     a, b = (F.regexp_extract("name", r"^(\p{Lu}[\p{L}'’]+) (\p{Lu}[\p{L}'’]+)$", i) for i in (1, 2))
     plain = lambda c: strip_diacritics(F.lower(c))
     pairs = full.select(plain(a).alias("a"), plain(b).alias("b")).where("a <> ''").distinct()
-    given = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PARTNERS)
-    family = pairs.join(given.select("a"), "a", "left_semi").groupBy("b").agg(F.count("*").alias("n"))
+    sure = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PARTNERS)
+    families = pairs.join(sure.select("a"), "a", "left_semi").select("b").distinct().where("length(b) > 5")
+    endings = families.groupBy(F.expr("right(b, 4)").alias("end")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PARTNERS)
+    # a rare given name stands beside a word that ends like several family names
+    rare = pairs.where("length(b) > 5").join(endings.select("end"), F.expr("right(b, 4)") == F.col("end"), "left_semi")
+    given = sure.select("a").unionByName(rare.select("a")).distinct()
+    family = pairs.join(given, "a", "left_semi").groupBy("b").agg(F.count("*").alias("n"))
 
     def sketch(words: DataFrame, word) -> np.ndarray:
         out = np.zeros((2, CELLS), dtype=np.int32)
@@ -137,16 +144,16 @@ class Span:
 
 
 def _context(text: str, start: int, end: int) -> tuple[list[str], list[str], str, str]:
-    """Three plain words before and two after, and the characters beside the span."""
-    before = [fold(w) for w in WORD.findall(text[max(0, start - 60) : start])][-3:]
-    after = [fold(w) for w in WORD.findall(text[end : end + 40])][:2]
+    """Up to three plain words before and two after in the same sentence, and the characters beside the span."""
+    before = [fold(w) for w in WORD.findall(SENTENCE_START.split(text[max(0, start - 60) : start])[-1])][-3:]
+    after = [fold(w) for w in WORD.findall(SENTENCE_END.split(text[end : end + 40], maxsplit=1)[0])][:2]
     return before, after, text[start - 1 : start], text[end : end + 1]
 
 
 def _number_form(s: str) -> tuple[float, ...]:
     digits = sum(c.isdigit() for c in s)
     groups = [len(g) for g in re.findall(r"\d+", s)]
-    return (digits, len(groups), groups[0], groups[-1], max(groups), s.startswith("+"), s.startswith("("), s.count("."), s.count("-"), s.count(" "), s.count("/"), bool(ID_FORMATS.fullmatch(s)), s[0].isalpha())
+    return (digits, len(groups), groups[0], groups[-1], max(groups), s.startswith("+"), s.startswith("("), s.count("."), s.count("-"), s.count(" "), s.count("/"), bool(ID_FORMATS.fullmatch(s)), s[0].isalpha(), bool(NETWORK.fullmatch(s)))
 
 
 def candidates(text: str, is_author: bool, names: Names) -> list[Span]:
@@ -159,8 +166,9 @@ def candidates(text: str, is_author: bool, names: Names) -> list[Span]:
     for rx in (NUMBER, PASSPORT):
         for m in rx.finditer(text):
             if sum(c.isdigit() for c in m.group()) >= 6:
-                form = _number_form(m.group())
-                out += [Span(k, m.start(), m.end(), form) for k in (("phone", "id_number") if rx is NUMBER else ("id_number",)) if form[0] > 6 or rx is PASSPORT]
+                start = m.start() + (m.group()[0] == "(" and ")" not in m.group())  # a bracket around the whole number
+                form = _number_form(text[start : m.end()])
+                out += [Span(k, start, m.end(), form) for k in (("phone", "id_number") if rx is NUMBER else ("id_number",)) if form[0] > 6 or rx is PASSPORT]
     for i, rx in enumerate(ADDRESS):
         for m in rx.finditer(text):
             out.append(Span("address", m.start(), m.end(), (i, len(m.group()), m.group()[0].isupper(), bool(re.search(r"nº|CEP|apto|Flat|casa|º", m.group())))))
@@ -213,20 +221,25 @@ def weak_label(text: str, c: Span) -> int | None:
         return 0 if c.form[2] and c.form[3] else 1 if not c.form[2] else None
     if c.kind in ("phone", "id_number"):
         s = text[c.start : c.end]
+        if NETWORK.fullmatch(s):
+            return 0
         clear_id = bool(ID_FORMATS.fullmatch(s)) or s[0].isalpha()
+        bare = c.form[0] == 11 and c.form[1] == 1 and s[0] != "+" and not near & (PHONE_CUES - {"numero", "number", "para", "pelo"})
         clear_phone = s[0] in "+(" or (7 <= c.form[0] <= 12 and c.form[1] > 1 and c.form[10] == 0 and not clear_id)
         if before and (before[-1] in OTHER_NUMBERS or near & {"cnpj", "protocolo", "nota", "lote", "barras"}) and not near & (ID_CUES - {"numero"}):
             return 0
         if c.form[10] or c.form[0] > 15:
             return 0
         if c.kind == "id_number":
-            return 1 if clear_id else 0 if clear_phone else 1 if c.form[0] == 11 and c.form[1] == 1 and (near & ID_CUES) else None
+            return 1 if clear_id or bare else 0 if clear_phone else None
+        if bare:
+            return 0
         return 1 if clear_phone and (s[0] in "+(" or near & PHONE_CUES) else 0 if clear_id else None
     if c.kind == "address":
         return 1 if c.form[2] or c.form[3] else None
     if right in ("-", "/", "_", "\\") or left in ("/", "_", "\\", "-"):
         return 0
-    if near & TECHNICAL or (after and after[0] in TECHNICAL):
+    if near & TECHNICAL or (after and after[0] in TECHNICAL and not c.form[3]):
         return 0
     if c.form[3] or c.form[6] or c.form[7]:
         return 1
