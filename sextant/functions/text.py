@@ -14,9 +14,9 @@ ACCENTED, PLAIN = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
 
 # Function words left out by the tokenizer.
 STOP_WORDS = (
-    "a o e de da do das dos em no na nos nas um uma para por com sem que se ao aos "
-    "as os ou foi ser the of and to in for on with is are be this that from not "
-    "não quando está ter mais como seu sua"
+    "a o as os de do da dos das em no na nos nas para por com sem e ou um uma uns umas que se ao aos "
+    "the of and for to in on is are this that que sua seu suas seus quando onde como mais menos muito "
+    "pelo pela esse essa esta este isso isto nao não ja já"
 ).split()
 
 
