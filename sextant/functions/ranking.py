@@ -17,7 +17,7 @@ def rank_within(df: DataFrame, keys: list[str], by: list[str], name: str = "rank
     the largest needs, rows are numbered within their salt and the salts' counts are summed up. NULL keys form a
     group of their own. ``df`` is read twice, so it should be a table or the result of ``cut``.
     """
-    most = df.groupBy(*keys).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    most = df.groupBy(*keys).agg(F.count("*").alias("_most")).agg(F.max("_most")).first()[0] or 0
     salts = max(1, math.ceil(most / rows_per_task))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     inner = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*by)).cast("bigint") - 1
