@@ -39,6 +39,8 @@ NO_LANGUAGE = ("", "und", "unknown", "n/a", "na", "none", "null", "mul", "zxx",
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 500, 4
 #: Words that a sentence has at least.
 LEAST_WORDS = 4
+#: Gradient steps that a training takes at least, however small its sample.
+LEAST_STEPS = 300
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4, 5)
 
 PARAGRAPHS = re.compile(r"\n(?:[ \t]*\n)+")
@@ -124,13 +126,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _fit(texts: list[bytes], y: np.ndarray, classes: int, epochs: int, seed: int, rate: float = 6.0, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings times output weights, and the bias, after ``epochs`` of gradient steps with falling rate."""
+    """Embeddings times output weights, and the bias, after ``epochs`` (more for small samples) of gradient steps with falling rate."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     emb[0] = 0
     out, bias = np.zeros((DIM, classes), dtype=np.float32), np.zeros(classes, dtype=np.float32)
     ids, starts, total = buckets(texts)
     flat = [ids[:, s : s + len(t)].ravel() for s, t in zip(starts, texts)]
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
     steps, at = epochs * -(-len(texts) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
