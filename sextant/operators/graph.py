@@ -25,7 +25,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, steps: int = 20, damping: floa
     nodes = cut(nodes.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg")), "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg")))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(steps):
-        flow = skew_join(e, ranks.where("deg > 0").select(F.col("id").alias("src"), F.col("deg").alias("w"), (F.col("rank") / F.col("deg")).alias("part")), "src", "w", m)
+        flow = skew_join(e, ranks.where("deg > 0").select(F.col("id").alias("src"), F.col("deg").alias("w"), (F.col("rank") / F.col("deg")).alias("part")), "src", "w", m, rows=n)
         into = flow.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("into"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("rank"))), F.lit(0.0)).alias("lost"))
         new = nodes.join(into, "id", "left").crossJoin(F.broadcast(lost))  # lost is one row

@@ -45,8 +45,8 @@ def the_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest(table(spark, sf_dir, "task_index"))
 
 
-def the_pr_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(C.change_modules(the_changes(spark, sf_dir), table(spark, sf_dir, "modules")))
+def the_pr_modules(spark: SparkSession, sf_dir: str, changes: DataFrame | None = None) -> DataFrame:
+    return cut(C.change_modules(the_changes(spark, sf_dir) if changes is None else changes, table(spark, sf_dir, "modules")))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:

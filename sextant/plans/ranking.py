@@ -34,28 +34,36 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.bm25(_searched(spark, sf_dir), _documents(spark, sf_dir)), "score")
 
 
-def _title(spark: SparkSession, sf_dir: str, pm: DataFrame) -> DataFrame:
-    entries = without_bumps(the_changes(spark, sf_dir)).select("pr", "key", F.coalesce("jiraTitle", "title").alias("text"))
-    near = S.similar(_searched(spark, sf_dir), entries, 15, F.col("key") == F.col("q_key"))
-    return near.join(pm, "pr").groupBy("query_id", "path").agg(F.sum("score").alias("raw"))
+def _near(spark: SparkSession, sf_dir: str, changes: DataFrame) -> DataFrame:
+    entries = without_bumps(changes).select("pr", "key", F.coalesce("jiraTitle", "title").alias("text"))
+    return S.similar(_searched(spark, sf_dir), entries, 15, F.col("key") == F.col("q_key"))
+
+
+def _title(near: DataFrame, pm: DataFrame) -> DataFrame:
+    return pm.join(sized(near), "pr").groupBy("query_id", "path").agg(F.sum("score").alias("raw"))
 
 
 def title_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules by the similarity of the changes that touch them."""
-    return rounded(_title(spark, sf_dir, the_pr_modules(spark, sf_dir)), "raw")
+    t = cut(the_changes(spark, sf_dir))
+    return rounded(_title(_near(spark, sf_dir, t), the_pr_modules(spark, sf_dir, t)), "raw")
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    pm = the_pr_modules(spark, sf_dir)
+    """The scaled signals, (query_id, path) of the modules that an issue's own changes touch, and the parts."""
+    t = cut(the_changes(spark, sf_dir))
+    pm = the_pr_modules(spark, sf_dir, t)
     pairs = cut(C.cochange(pm))
-    raw = {"title_sim": cut(_title(spark, sf_dir, pm)), "fts": cut(S.bm25(_searched(spark, sf_dir), _documents(spark, sf_dir)).select("query_id", "path", F.col("score").alias("raw")))}
-    own = the_changes(spark, sf_dir).select("pr", "key").join(sized(_searched(spark, sf_dir).select("query_id", F.col("q_key").alias("key"))), "key").select("query_id", "pr").distinct()
+    near = cut(_near(spark, sf_dir, t))
+    raw = {"title_sim": cut(_title(near, pm)), "fts": cut(S.bm25(_searched(spark, sf_dir), _documents(spark, sf_dir)).select("query_id", "path", F.col("score").alias("raw")))}
+    own = t.select("pr", "key").join(sized(_searched(spark, sf_dir).select("query_id", F.col("q_key").alias("key"))), "key").select("query_id", "pr").distinct()
     own = cut(own.join(pm, "pr"))
     removed = own.groupBy("query_id", F.col("path").alias("a")).agg(F.count("*").alias("e_a"))
     removed_pairs = own.select("query_id", "pr", F.col("path").alias("a")).join(own.select("query_id", "pr", F.col("path").alias("b")), ["query_id", "pr"]).where("a <> b").groupBy("query_id", "a", "b").agg(F.count("*").alias("e_ab"))
     raw["cochange"] = cut(S.expand(S.seeds(raw["title_sim"], raw["fts"]), pairs, removed_pairs, removed))
     raw["centrality"] = _ranks(spark, sf_dir, pairs).select(F.col("id").alias("path"), F.col("rank").alias("raw"))
-    return cut(S.combine(raw)), pm, raw
+    best = pm.join(sized(near), "pr").groupBy("query_id", "path").agg(F.min_by("pr", "place").alias("pr"))
+    return cut(S.combine(raw)), own.select("query_id", "path").distinct(), raw | {"best": best}
 
 
 def seed_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,33 +83,26 @@ def dominant_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar change that touches each ranked module, if there is one."""
-    sig, pm, _ = _signals(spark, sf_dir)
-    entries = without_bumps(the_changes(spark, sf_dir)).select("pr", "key", F.coalesce("jiraTitle", "title").alias("text"))
-    near = S.similar(_searched(spark, sf_dir), entries, 15, F.col("key") == F.col("q_key"))
-    best = near.join(pm, "pr").groupBy("query_id", "path").agg(F.min("place").alias("best")).join(near.select("query_id", F.col("place").alias("best"), "pr"), ["query_id", "best"]).select("query_id", "path", "pr")
+    sig, _, parts = _signals(spark, sf_dir)
+    best = parts["best"]
     return S.fuse(sig).select("query_id", "path", "place").join(best, ["query_id", "path"], "left").select("query_id", "path", "place", F.col("pr").alias("evidence_pr"))
 
 
-def _gold(spark: SparkSession, sf_dir: str, pm: DataFrame) -> DataFrame:
-    keys = _searched(spark, sf_dir).select("query_id", F.col("q_key").alias("key"))
-    return the_changes(spark, sf_dir).select("pr", "key").join(sized(keys), "key").join(pm, "pr").select("query_id", "path").distinct()
-
-
 def eval_recall_hit_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the ranking finds the modules that really changed, by issue."""
-    sig, pm, _ = _signals(spark, sf_dir)
-    out = S.evaluate(S.fuse(sig), _gold(spark, sf_dir, pm), _searched(spark, sf_dir).select("query_id"), ["query_id"])
+    sig, gold, _ = _signals(spark, sf_dir)
+    out = S.evaluate(S.fuse(sig), gold, _searched(spark, sf_dir).select("query_id"), ["query_id"])
     return rounded(out, *(c for c in out.columns if c not in ("query_id", "n_gold")))
 
 
 def eval_grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean recall, hit and average precision of each weighting, signals computed once; the best by recall@10."""
-    sig, pm, _ = _signals(spark, sf_dir)
+    sig, gold, _ = _signals(spark, sf_dir)
     weights = spark.createDataFrame([(n, *w) for n, w in S.GRID.items()], "config string, w0 double, w1 double, w2 double, w3 double")
     score = sum((F.col(f"w{i}") * F.col(s) for i, s in enumerate(S.SIGNALS)), F.lit(0.0))
     ranked = C.top_per(sig.crossJoin(F.broadcast(weights)).withColumn("score", score), ["config", "query_id"], [F.desc(F.round("score", 9)), F.asc("path")], 20)
     cases = _searched(spark, sf_dir).select("query_id").crossJoin(F.broadcast(weights.select("config")))  # five weightings
-    one = S.evaluate(ranked, _gold(spark, sf_dir, pm), cases, ["config", "query_id"])
+    one = S.evaluate(ranked, gold, cases, ["config", "query_id"])
     mean = one.groupBy("config").agg(F.count("*").alias("n_cases"), *(F.round(F.avg(c), 6).alias(c) for c in one.columns if c not in ("config", "query_id", "n_gold")))
     best = mean.agg(F.max(F.struct("recall_10", "config")).alias("b"))
     return mean.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("config") == F.col("b.config")).drop("b")
@@ -111,8 +112,8 @@ def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall of the first ten modules where a module above or below a true one counts as right."""
     from sextant.operators.paths import overlapping
 
-    sig, pm, _ = _signals(spark, sf_dir)
-    found, gold = cut(S.fuse(sig, top=10).select("query_id", "path")), cut(_gold(spark, sf_dir, pm))
+    sig, gold, _ = _signals(spark, sf_dir)
+    found, gold = cut(S.fuse(sig, top=10).select("query_id", "path")), cut(gold)
     count = lambda d, name: d.groupBy("query_id").agg(F.count("*").alias(name))
     out = _searched(spark, sf_dir).select("query_id")
     for d, name in ((found, "n_found"), (gold, "n_gold"), (overlapping(found, gold, "path", "path", ["query_id"]), "hit_found"), (overlapping(gold, found, "path", "path", ["query_id"]), "hit_gold")):
@@ -138,11 +139,17 @@ def pagerank_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.page_rank(nodes, e), "rank")
 
 
+def _gold(spark: SparkSession, sf_dir: str, changes: DataFrame, pm: DataFrame) -> DataFrame:
+    keys = _searched(spark, sf_dir).select("query_id", F.col("q_key").alias("key"))
+    return changes.select("pr", "key").join(sized(keys), "key").join(pm, "pr").select("query_id", "path").distinct()
+
+
 def related_nodes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six modules next to those that each searched issue changed, by links, then by rank."""
-    pm = the_pr_modules(spark, sf_dir)
+    t = cut(the_changes(spark, sf_dir))
+    pm = the_pr_modules(spark, sf_dir, t)
     pairs = cut(C.cochange(pm))
-    near = G.neighbours(_edges(pairs), _gold(spark, sf_dir, pm).select("query_id", F.col("path").alias("id")), ["query_id"])
+    near = G.neighbours(_edges(pairs), _gold(spark, sf_dir, t, pm).select("query_id", F.col("path").alias("id")), ["query_id"])
     full = near.join(sized(_ranks(spark, sf_dir, pairs)), "id")
     return rounded(C.top_per(full, ["query_id"], [F.desc("links"), F.desc(F.round("rank", 9)), F.asc("id")], 6), "rank")
 

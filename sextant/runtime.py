@@ -65,14 +65,15 @@ def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
 
 
-def skew_join(big: DataFrame, dim: DataFrame, on: str, weight: str, total: int, share: float = 0.005, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+def skew_join(big: DataFrame, dim: DataFrame, on: str, weight: str, total: int, share: float = 0.005, most_rows: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Inner join of ``big`` with ``dim`` (unique on ``on``) where a few keys may hold most of ``big``.
 
     ``weight`` counts the rows of ``big`` by key and ``total`` is their sum, so at most ``1 / share``
     keys reach ``share * total``: these few are joined by broadcast, the others by a shuffle.
-    A ``dim`` of at most ``most_rows`` rows is broadcast whole. NULL keys match nothing.
+    A ``dim`` of at most ``most_rows`` rows is broadcast whole; ``rows`` is its number of rows, where the caller
+    knows it and it need not be counted. NULL keys match nothing.
     """
-    hinted = sized(dim, most_rows)
+    hinted = sized(dim, most_rows) if rows is None else F.broadcast(dim) if rows <= most_rows else dim
     if hinted is not dim:
         return big.join(hinted.drop(weight), on)
     is_hot = F.col(weight) >= F.lit(max(1.0, share * total))
