@@ -65,4 +65,16 @@ SQL = {
     coalesce(nullif(regexp_extract(regexp_replace(replace(node_path, '"', ''), '(\\[\\d+\\])+$', ''), '^.*\\]', 0), ''),
       CASE WHEN root = 'customfield_10020' AND fullkey <> '$' AND replace(node_path, '"', '') LIKE 'customfield_10020.%' THEN root ELSE '' END) AS parent_path
     FROM t WHERE type = 'OBJECT' AND (fullkey LIKE '%]' OR (root = 'customfield_10020' AND fullkey = '$'))""",
+    "p2_comments": _ISSUES
+    + """, c AS (SELECT record_id, issue_no, issue_key, 'comment.comments[' || e.key || ']' AS node_path, e.value AS v, e.type FROM r, json_each(r.v, '$.comments') e WHERE r.root = 'comment' AND json_type(r.v) = 'OBJECT'
+      UNION ALL SELECT record_id, issue_no, issue_key, 'comment[' || e.key || ']', e.value, e.type FROM r, json_each(r.v) e WHERE r.root = 'comment' AND json_type(r.v) = 'ARRAY')
+    SELECT record_id, issue_no, issue_key, node_path, '' AS parent_path, v->>'$.id' AS comment_id, v->>'$.created' AS created, v->>'$.author.displayName' AS author, CASE WHEN json_type(v, '$.body') = 'VARCHAR' THEN v->>'$.body' END AS body_text FROM c WHERE type = 'OBJECT'""",
+    "p2_sprints": _ISSUES
+    + """, s AS (SELECT record_id, issue_no, issue_key, 'customfield_10020[' || e.key || ']' AS node_path, e.value AS v, e.type FROM r, json_each(r.v) e WHERE r.root = 'customfield_10020' AND json_type(r.v) = 'ARRAY'
+      UNION ALL SELECT record_id, issue_no, issue_key, 'customfield_10020', v, json_type(v) FROM r WHERE root = 'customfield_10020' AND json_type(v) = 'OBJECT')
+    SELECT record_id, issue_no, issue_key, node_path, '' AS parent_path, v->>'$.id' AS sprint_id, v->>'$.name' AS sprint_name, v->>'$.state' AS sprint_state FROM s WHERE type = 'OBJECT'""",
+    "p2_values": _ISSUES
+    + """, a AS (SELECT r.record_id, r.issue_no, r.issue_key, r.root, replace(r.root || substr(e.fullkey, 2), '"', '') AS p, e.atom->>'$' AS value FROM r, json_tree(r.v) e WHERE r.v IS NOT NULL AND e.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+    o AS (SELECT *, coalesce(nullif(regexp_extract(regexp_replace(p, '(\\[\\d+\\])+$', ''), '^.*\\]', 0), ''), CASE WHEN starts_with(p, 'customfield_10020.') THEN root ELSE '' END) AS node_path FROM a)
+    SELECT record_id, issue_no, issue_key, node_path, CASE WHEN node_path = '' THEN p ELSE substr(p, length(node_path) + 2) END AS name, value FROM o""",
 }

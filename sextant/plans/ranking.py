@@ -203,6 +203,14 @@ def _eval_columns() -> str:
     return ", ".join([*(one(f"h{k} / n_gold", f"recall_{k}") for k in (5, 10, 20)), *(one(f"(h{k} > 0)::INT", f"hit_{k}") for k in (5, 10, 20)), one("ap / least(n_gold, 10)", "ap_10")])
 
 
+_GRID = ", ".join(f"('{n}', {', '.join(map(str, w))})" for n, w in S.GRID.items())
+
+
+def _mean_columns() -> str:
+    one = lambda c, name: f"round(avg(CASE WHEN n_gold = 0 THEN 1.0 ELSE {c} END::DOUBLE), 6) AS {name}"
+    return ", ".join([*(one(f"h{k} / n_gold", f"recall_{k}") for k in (5, 10, 20)), *(one(f"(h{k} > 0)::INT", f"hit_{k}") for k in (5, 10, 20)), one("ap / least(n_gold, 10)", "ap_10")])
+
+
 SQL = {
     "bm25_topk": f"{_BASE}{_BM25} SELECT query_id, path, round(score, 6) AS score, place FROM fts",
     "title_signal": f"{_BASE}{_TITLE} SELECT query_id, path, round(raw, 6) AS raw FROM title",
@@ -217,4 +225,17 @@ SQL = {
     l AS (SELECT query_id, dst AS id FROM gold JOIN edges ON src = gold.id UNION ALL SELECT query_id, src FROM gold JOIN edges ON dst = gold.id),
     c AS (SELECT query_id, id, count(*) AS links FROM l WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = l.query_id AND g.id = l.id) GROUP BY ALL)
     SELECT query_id, id, links, round(rank, 6) AS rank, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY links DESC, round(rank, 9) DESC, id) AS place FROM c JOIN ranks USING (id)) WHERE place <= 6""",
+    "pagerank_customers": f"""WITH RECURSIVE {_rank_sql("SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier", "SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey")} SELECT id, round(rank, 6) AS rank FROM ranks""",
+    "eval_grid_best": f"""{_ALL}, gold AS (SELECT DISTINCT query_id, path FROM own), ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1), grid(config, w0, w1, w2, w3) AS (VALUES {_GRID}),
+    rk AS (SELECT * FROM (SELECT config, query_id, path, row_number() OVER (PARTITION BY config, query_id ORDER BY round(w0 * title_sim + w1 * fts + w2 * cochange + w3 * centrality, 9) DESC, path) AS place FROM sig CROSS JOIN grid) WHERE place <= 20),
+    hits AS (SELECT config, query_id, place, row_number() OVER (PARTITION BY config, query_id ORDER BY place) AS nth FROM rk JOIN gold USING (query_id, path)),
+    got AS (SELECT config, query_id, count(*) FILTER (place <= 5) AS h5, count(*) FILTER (place <= 10) AS h10, count(*) AS h20, coalesce(sum(nth / place) FILTER (place <= 10), 0) AS ap FROM hits GROUP BY ALL),
+    ev AS (SELECT config, query_id, coalesce(n_gold, 0) AS n_gold, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(h20, 0) AS h20, coalesce(ap, 0) AS ap FROM searched CROSS JOIN (SELECT config FROM grid) LEFT JOIN ng USING (query_id) LEFT JOIN got USING (config, query_id)),
+    mean AS (SELECT config, count(*) AS n_cases, {_mean_columns()} FROM ev GROUP BY config)
+    SELECT *, config = (SELECT arg_max(config, struct_pack(r := recall_10, c := config)) FROM mean) AS is_best FROM mean""",
+    "precision_recall_f1": f"""{_ALL}, gold AS (SELECT DISTINCT query_id, path FROM own), top10 AS (SELECT query_id, path FROM fused WHERE place <= 10),
+    p AS (SELECT query_id, avg((EXISTS (SELECT 1 FROM gold g WHERE g.query_id = t.query_id AND (g.path = t.path OR starts_with(g.path, t.path || '/') OR starts_with(t.path, g.path || '/'))))::INT) AS p FROM top10 t GROUP BY 1),
+    r AS (SELECT query_id, avg((EXISTS (SELECT 1 FROM top10 t WHERE g.query_id = t.query_id AND (g.path = t.path OR starts_with(g.path, t.path || '/') OR starts_with(t.path, g.path || '/'))))::INT) AS r FROM gold g GROUP BY 1),
+    b AS (SELECT query_id, coalesce(p, CASE WHEN r IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS p, coalesce(r, 1.0)::DOUBLE AS r FROM searched LEFT JOIN p USING (query_id) LEFT JOIN r USING (query_id))
+    SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1 FROM b""",
 }
