@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sextant.operators.paths import longest_prefix
-from sextant.runtime import sized
+from sextant.runtime import cut, sized, skew_join
 
 # What marks a version bump and a generated file.
 BUMP_TITLE = r"(?iu)(?<![A-Za-z0-9_])(bump|update|upgrade|atualiza)(?![A-Za-z0-9_]).*(?<![A-Za-z0-9_])(package|pacote|composer|dependenc|versão|version)(?![A-Za-z0-9_])"
@@ -54,8 +54,9 @@ def changed_lines(files: Column) -> Column:
 def change_modules(changes: DataFrame, modules: DataFrame) -> DataFrame:
     """(pr, path): the distinct modules that a change touches."""
     files = changes.select("pr", F.explode("files.f").alias("f")).where("pr is not null and f is not null").distinct()
-    of = longest_prefix(files, modules)
-    return files.join(sized(of), "f").select("pr", "path").distinct()
+    counted = cut(files.groupBy("f").agg(F.count("*").alias("n")))
+    of = cut(longest_prefix(counted, modules).join(counted, "f"))
+    return skew_join(files, of, "f", "n", counted.agg(F.sum("n")).first()[0] or 0).select("pr", "path").distinct()
 
 
 def cochange(pr_modules: DataFrame, min_support: int = 1) -> DataFrame:

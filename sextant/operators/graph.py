@@ -27,9 +27,8 @@ def page_rank(nodes: DataFrame, edges: DataFrame, steps: int = 20, damping: floa
     for i in range(steps):
         flow = skew_join(e, ranks.where("deg > 0").select(F.col("id").alias("src"), F.col("deg").alias("w"), (F.col("rank") / F.col("deg")).alias("part")), "src", "w", m, rows=n)
         into = flow.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("into"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("rank"))), F.lit(0.0)).alias("lost"))
-        new = nodes.join(into, "id", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        new = cut(new.select("id", "deg", (F.lit((1 - damping) / max(n, 1)) + damping * F.col("lost") / max(n, 1) + damping * F.coalesce("into", F.lit(0.0))).alias("rank")))
+        lost = ranks.where("deg = 0").agg(F.sum("rank")).first()[0] or 0.0
+        new = cut(nodes.join(into, "id", "left").select("id", "deg", (F.lit((1 - damping + damping * lost) / max(n, 1)) + damping * F.coalesce("into", F.lit(0.0))).alias("rank")))
         if i:
             drop_cut(ranks)
         ranks = new

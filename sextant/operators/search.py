@@ -29,7 +29,7 @@ def similar(queries: DataFrame, entries: DataFrame, top: int = 15, excluded: Col
     asked = sized(q.select("query_id", F.size("_w").alias("_nq"), F.explode("_w").alias("_t")))
     hits = sets.select("_s", F.size("_s").alias("_ne"), F.explode("_s").alias("_t")).join(asked, "_t").groupBy("query_id", "_nq", "_s", "_ne").agg(F.count("*").alias("_both"))
     scored = hits.select("query_id", "_s", (F.col("_both") / (F.col("_nq") + F.col("_ne") - F.col("_both"))).alias("score"))
-    full = scored.join(e, "_s")
+    full = e.join(sized(scored), "_s")
     if excluded is not None:
         full = full.join(sized(queries.drop("text")), "query_id").where(~F.coalesce(excluded, F.lit(False)))
     return top_per(full.select("query_id", "pr", "score"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("pr")], top)
@@ -41,13 +41,13 @@ def bm25(queries: DataFrame, documents: DataFrame, top: int = 40, k1: float = 1.
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Ties go to the smaller path. Documents without words count for N.
     """
     d = documents.select("path", tokens(F.col("text")).alias("w"))
-    facts = d.agg(F.count("*").alias("_n"), F.avg(F.size("w")).alias("_avg"))
+    n, mean = d.agg(F.count("*"), F.avg(F.size("w"))).first()
     post = d.select("path", F.size("w").alias("_len"), F.explode("w").alias("t")).groupBy("path", "_len", "t").agg(F.count("*").alias("_tf"))
     df = post.groupBy("t").agg(F.count("*").alias("_df"))
     asked = sized(queries.select("query_id", F.explode(token_set(F.col("text"))).alias("t")))
-    hits = post.join(asked, "t").join(sized(df), "t").crossJoin(F.broadcast(facts))  # facts is one row
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
-    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
+    hits = post.join(asked, "t").join(sized(df), "t")
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
+    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.lit(mean or 1.0)))
     scored = hits.groupBy("query_id", "path").agg(F.sum(part).alias("score"))
     return top_per(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("path")], top)
 

@@ -105,11 +105,16 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tickets of each size class, at even quantiles of their lines."""
     r = C.representatives(without_bumps(the_changes(spark, sf_dir))).where("size(files) >= 3 and lines > 0").withColumn("size_class", C.size_class(F.col("lines")))
-    at = F.row_number().over(W.partitionBy("size_class").orderBy("lines", "pr")) - 1
-    # ranks of a class in one ordered pass; the classes are three, the rows one per ticket and three columns wide
-    r = r.select("size_class", "key", "pr", "lines").withColumn("at", at).withColumn("n", F.count("*").over(W.partitionBy("size_class")))
-    picks = F.array(*(F.floor(F.lit(i) * F.col("n") / 4) for i in (1, 2, 3)))
-    return r.where((F.col("n") <= 3) | F.array_contains(picks, F.col("at").cast("bigint"))).select("size_class", "key", "pr", "lines")
+    r = cut(r.select("size_class", "key", "pr", "lines"))
+    # positions from the histogram of lines, then inside the few chosen cells: no class is ordered in one task
+    order = W.partitionBy("size_class").orderBy("lines")
+    h = r.groupBy("size_class", "lines").agg(F.count("*").alias("k"))
+    h = h.withColumn("from", F.sum("k").over(order) - F.col("k")).withColumn("n", F.sum("k").over(W.partitionBy("size_class")))
+    wanted = F.when(F.col("n") <= 3, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).otherwise(F.array(*(F.floor(F.lit(i) * F.col("n") / 4) for i in (1, 2, 3))))
+    cells = h.withColumn("at", F.explode(wanted)).where("at >= from and at < from + k").select("size_class", "lines", (F.col("at") - F.col("from")).alias("at"))
+    offsets = cells.groupBy("size_class", "lines").agg(F.collect_set("at").alias("at"))
+    inside = r.join(F.broadcast(offsets), ["size_class", "lines"]).withColumn("pos", (F.row_number().over(W.partitionBy("size_class", "lines").orderBy("pr")) - 1).cast("bigint"))
+    return inside.where(F.array_contains("at", F.col("pos"))).select("size_class", "key", "pr", "lines")
 
 
 def benchmark_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,8 @@ def stats_recent30(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trailing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the seven days before the latest, by user."""
     e = _events(spark, sf_dir)
-    last = e.agg(F.max("ts").alias("last"))
-    near = e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("interval 7 days"))  # last is one row
+    last = e.agg(F.max("ts")).first()[0]
+    near = e.where(F.col("ts") >= F.lit(last) - F.expr("interval 7 days"))
     return near.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
@@ -167,8 +167,8 @@ def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Module summaries kept where no change of the last thirty days touched the module."""
     t = the_changes(spark, sf_dir)
-    last = t.agg(F.max("mergedAt").alias("last"))
-    recent = t.crossJoin(F.broadcast(last)).where(F.col("mergedAt") >= F.col("last") - F.expr("interval 30 days")).select("pr")  # last is one row
+    last = t.agg(F.max("mergedAt")).first()[0]
+    recent = t.where(F.col("mergedAt") >= F.lit(last) - F.expr("interval 30 days")).select("pr")
     touched = the_pr_modules(spark, sf_dir).join(recent, "pr", "left_semi").select("path").distinct()
     mods = table(spark, sf_dir, "modules").select("path", "summary")
     before = mods.where("length(path) % 5 > 0")

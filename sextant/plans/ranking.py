@@ -98,14 +98,16 @@ def eval_recall_hit_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean recall, hit and average precision of each weighting, signals computed once; the best by recall@10."""
     sig, gold, _ = _signals(spark, sf_dir)
-    weights = spark.createDataFrame([(n, *w) for n, w in S.GRID.items()], "config string, w0 double, w1 double, w2 double, w3 double")
-    score = sum((F.col(f"w{i}") * F.col(s) for i, s in enumerate(S.SIGNALS)), F.lit(0.0))
-    ranked = C.top_per(sig.crossJoin(F.broadcast(weights)).withColumn("score", score), ["config", "query_id"], [F.desc(F.round("score", 9)), F.asc("path")], 20)
-    cases = _searched(spark, sf_dir).select("query_id").crossJoin(F.broadcast(weights.select("config")))  # five weightings
+    grid = F.explode(F.array(*(F.struct(F.lit(n).alias("config"), F.array(*map(F.lit, w)).alias("w")) for n, w in S.GRID.items())))
+    score = sum((F.get("w", F.lit(i)) * F.col(s) for i, s in enumerate(S.SIGNALS)), F.lit(0.0))
+    each = sig.withColumn("g", grid).select("*", "g.config", "g.w").withColumn("score", score)
+    ranked = C.top_per(each.select("config", "query_id", "path", "score"), ["config", "query_id"], [F.desc(F.round("score", 9)), F.asc("path")], 20)
+    cases = _searched(spark, sf_dir).select("query_id", grid.alias("g")).select("query_id", "g.config")
     one = S.evaluate(ranked, gold, cases, ["config", "query_id"])
     mean = one.groupBy("config").agg(F.count("*").alias("n_cases"), *(F.round(F.avg(c), 6).alias(c) for c in one.columns if c not in ("config", "query_id", "n_gold")))
-    best = mean.agg(F.max(F.struct("recall_10", "config")).alias("b"))
-    return mean.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("config") == F.col("b.config")).drop("b")
+    mean = cut(mean)
+    best = mean.agg(F.max_by("config", F.struct("recall_10", "config"))).first()[0]
+    return mean.withColumn("is_best", F.col("config") == F.lit(best))
 
 
 def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
