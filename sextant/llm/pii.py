@@ -234,7 +234,7 @@ def weak_label(text: str, c: Span) -> int | None:
             return 1 if clear_id or bare else 0 if clear_phone else None
         if bare:
             return 0
-        return 1 if clear_phone and (s[0] in "+(" or near & PHONE_CUES) else 0 if clear_id else None
+        return 1 if clear_phone and (s[0] in "+(" or near & PHONE_CUES or c.form[4] <= 5) else 0 if clear_id else None
     if c.kind == "address":
         return 1 if c.form[2] or c.form[3] else None
     if right in ("-", "/", "_", "\\") or left in ("/", "_", "\\", "-"):
@@ -314,7 +314,7 @@ def train(sample: list[tuple[str, bool]], names: Names, seed: int = 5) -> Detect
         x, y = np.array([_features(t, c, cues) for t, c, _ in rows]), np.array([float(v) for *_, v in rows])
         order = rng.permutation(len(y))
         held, rest = order[: len(y) // 5], order[len(y) // 5 :]
-        trees[kind] = boosting.fit(x[rest], y[rest])
+        trees[kind] = boosting.fit(x[rest], y[rest], trees=60, depth=4)
         least[kind] = 0.5
         if len(held) > 20:
             p, t = trees[kind].probability(x[held]), y[held]
@@ -330,9 +330,13 @@ def rows_of(issues: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Detector:
-    """A detector from ``rows_of``: name words from all author names, trees from at most ``sample_texts`` texts in the order of a hash."""
+    """A detector from ``rows_of``: name words from all author names, trees from about ``sample_texts`` texts, chosen by a hash of their ids.
+
+    The hash is compared with a bound, so no task and not the driver sees more than it keeps; twice the number is the most.
+    """
     names = learn_names(rows.where("origin = 'author'").select(F.col("text").alias("name")))
-    sample = rows.orderBy(F.xxhash64("origin", "row_id"), "origin", "row_id").limit(sample_texts).select("text", "origin")
+    bound = int(2**31 * min(1.0, sample_texts / max(1, rows.count())))
+    sample = rows.where(F.pmod(F.xxhash64("origin", "row_id"), F.lit(2**31)) < bound).select("text", "origin").limit(2 * sample_texts)
     return train(sorted((r.text, r.origin == "author") for r in sample.collect()), names)
 
 
