@@ -187,8 +187,14 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 4, seed: int = 7)
 def fit(documents: DataFrame, most_documents: int = SAMPLE_DOCUMENTS, most_sentences: int = SAMPLE_SENTENCES) -> Model:
     """Train on at most ``most_documents`` labelled documents a language (those first in the order of a hash) and ``most_sentences`` of each."""
     named = documents.where("text is not null and doc_id is not null").select("doc_id", "text", label_language(F.col("lang")).alias("label")).where(F.col("label").isin(*LANGUAGES))
-    rank = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = named.withColumn("rank", rank).where(F.col("rank") <= most_documents)
+    # a bound on the hash first: what then is ranked is a few times the sample, however many documents there are
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(2**31))
+    bounds = {r.label: int(2**31 * min(1.0, 2 * most_documents / r.n)) for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not bounds:
+        return train([], [])
+    bound = F.coalesce(*(F.when(F.col("label") == k, F.lit(v)) for k, v in bounds.items()))
+    rank = F.row_number().over(W.partitionBy("label").orderBy(draw, "doc_id"))
+    sample = named.where(draw < bound).withColumn("rank", rank).where(F.col("rank") <= most_documents)
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
