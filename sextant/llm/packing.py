@@ -98,7 +98,9 @@ def pack(sizes: DataFrame, specs: DataFrame, tiers: int = 4, step_windows: int =
     spark = sizes.sparkSession
     caps = {r.spec_id: r.capacity_tokens for r in specs.where("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().collect()}
     docs = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("size"))
-    each = docs.crossJoin(F.broadcast(spark.createDataFrame(list(caps.items()), "spec_id int, capacity int")))  # a handful of rows
+    rows = [F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("int").alias("capacity")) for s, c in caps.items()]
+    every = F.array(*rows) if rows else F.array().cast("array<struct<spec_id:int,capacity:int>>")
+    each = docs.select("doc_id", "size", F.inline(every))
     whole = F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1)).cast("bigint")
     pieces = each.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1))).withColumn("token_start", F.col("piece_no") * F.col("capacity"))
     pieces = cut(pieces.select("spec_id", "doc_id", "piece_no", "token_start", F.least(F.col("size") - F.col("token_start"), F.col("capacity").cast("bigint")).alias("n_tokens")))
