@@ -1,18 +1,20 @@
 """Mixing sources to target shares of tokens: entropy balancing.
 
-Each document gets a rate, its expected number of copies, that departs as little as possible (in relative
-entropy) from one copy each while each source's tokens meet its target. The solution is an exponential tilt
-in the document's size, cut at the source's cap: ``rate = min(cap, exp(lambda_source * size / mean_size))``.
-The dual is convex and falls apart by source; its Newton steps (kept inside a bracket) need two sums a source
-and step, which Spark aggregates from the histogram of sizes. Rates become copies by systematic rounding in
-the order of size, so that a source's tokens miss their target by no more than about its longest document;
-of several rounding offsets the one that comes closest is taken.
+Each document gets a rate, its expected number of copies. Two constraints hold for a source: its tokens meet
+their goal, and the copies keep the mean size of its documents, so that a source that shrinks or grows does
+not lose or favour its long texts. Entropy balancing tilts a document by ``exp(intercept + slope * size)``; with
+the mean size kept, the dual is solved by slope 0 and intercept ``log(goal / available tokens)``: every document
+of a source has the same rate, which never exceeds the source's cap, as the goal is at most cap times the
+available tokens. Rates become copies from the longest text down: each size gets the copies that bring the tokens
+so far nearest to what the rates give so far, so that all sizes are thinned or repeated alike, what a long text
+adds or leaves out is made up by the next shorter ones, and a source meets its goal to about its shortest texts.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,15 +22,24 @@ from pyspark.sql import functions as F
 from sextant.functions.ranking import rank_within
 from sextant.runtime import cut, skew_join
 
-#: Rounding offsets that are tried for each source.
-OFFSETS = 64
-
 
 def _by_source(values: dict[str, float]) -> Column:
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("source")]
 
 
-def balance(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, slack: float = 0.98, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+def _rounded(sizes: pd.DataFrame) -> pd.DataFrame:
+    """One source's sizes with all copies of each size; one row per size, so bounded by the longest text."""
+    sizes = sizes.sort_values("n_tokens", ascending=False)
+    out, due = [], 0.0  # tokens that the sizes so far should have and do not have yet
+    for size, n, rate in zip(sizes["n_tokens"], sizes["n"], sizes["rate"]):
+        due += n * rate * size
+        best = round(due / size) if size else round(n * rate)
+        out.append(min(max(best, n * math.floor(rate)), n * math.ceil(rate)))
+        due -= out[-1] * size
+    return sizes.assign(all=out)[["source", "n_tokens", "n", "rate", "all"]]
+
+
+def balance(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, slack: float = 0.98) -> tuple[DataFrame, DataFrame]:
     """(copies, shares).
 
     ``sizes``: doc_id, source, n_tokens; ``targets``: source, target_share, max_repeats (few rows; rows without a
@@ -44,51 +55,17 @@ def balance(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
     spark = sizes.sparkSession
     want = {r.source: (r.s, r.m) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("s"), F.min("max_repeats").alias("m")).collect()}
     hist = cut(sizes.where(F.col("source").isin(*want) if want else F.lit(False)).groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
-    have = {r.source: (r.t, r.m) for r in hist.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), (F.sum(F.col("n") * F.col("n_tokens")) / F.sum("n")).alias("m")).collect() if r.t > 0}
+    have = {r.source: r.t for r in hist.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t")).collect() if r.t > 0}
     scale = sum(want[s][0] for s in have)
     share = {s: want[s][0] / scale for s in have}
     cap = {s: float(want[s][1]) for s in have}
-    room = min((cap[s] * have[s][0] / share[s] for s in have), default=0.0)
-    total = total_tokens or min(sum(t for t, _ in have.values()), slack * room)
-    goal = {s: min(share[s] * total, cap[s] * have[s][0]) for s in have}
-
-    mean = {s: have[s][1] for s in have}
-    lam, low, high = dict.fromkeys(have, 0.0), dict.fromkeys(have, -math.inf), dict.fromkeys(have, math.inf)
-    done: set[str] = set()
-    for _ in range(rounds):
-        if len(done) == len(have):
-            break
-        now = hist.where(F.col("source").isin(*have)).withColumn("x", F.col("n_tokens") / _by_source(mean))
-        rate = F.exp(F.least(F.col("x") * _by_source(lam), F.lit(50.0)))
-        now = now.withColumn("r", F.least(rate, _by_source(cap))).withColumn("free", rate < _by_source(cap))
-        sums = now.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens") * F.col("r")).alias("f"), F.sum(F.when(F.col("free"), F.col("n") * F.col("n_tokens") * F.col("x") * F.col("r")).otherwise(0.0)).alias("g")).collect()
-        for r in sums:
-            s, miss = r.source, r.f - goal[r.source]
-            if abs(miss) <= 1e-9 * goal[s] or s in done:
-                done.add(s)
-                continue
-            if miss > 0:
-                high[s] = lam[s]
-            else:
-                low[s] = lam[s]
-            step = lam[s] - miss / r.g if r.g > 0 else math.nan
-            if not (low[s] < step < high[s]) or abs(step) > 1e4:
-                a, b = low[s], high[s]
-                step = (a + b) / 2 if math.isfinite(a) and math.isfinite(b) else (max(2 * a, 1.0) if math.isfinite(a) else min(2 * b, -1.0))
-            lam[s] = step
-
-    used = {s: lam[s] for s in have} or {"": 0.0}
-    rate = F.least(F.exp(F.least(F.col("n_tokens") / _by_source(mean or {"": 1.0}) * _by_source(used), F.lit(50.0))), _by_source(cap or {"": 1.0}))
+    room = min((cap[s] * have[s] / share[s] for s in have), default=0.0)
+    total = total_tokens or min(sum(have.values()), slack * room)
+    goal = {s: min(share[s] * total, cap[s] * have[s]) for s in have}
+
+    rate = _by_source({s: goal[s] / have[s] for s in have} or {"": 0.0})
     rated = hist.where(F.col("source").isin(*have) if have else F.lit(False)).withColumn("rate", rate)
-    order = W.partitionBy("source").orderBy("n_tokens")  # one row per size, so bounded by the longest text
-    rated = rated.withColumn("upto", F.sum(F.col("n") * F.col("rate")).over(order))
-    rated = cut(rated.withColumn("before", F.coalesce(F.lag("upto").over(order), F.lit(0.0))))
-    # of evenly spaced rounding offsets each source takes the one that meets its goal best
-    rounded = lambda u: (F.floor(F.col("upto") + u) - F.floor(F.col("before") + u)).cast("bigint")
-    tried = rated.withColumn("u", F.explode(F.lit([(k + 0.5) / OFFSETS for k in range(OFFSETS)])))
-    sums = tried.groupBy("source", "u").agg(F.sum(rounded(F.col("u")) * F.col("n_tokens")).alias("t")).collect()  # sources times offsets
-    best = {s: min((abs(r.t - goal[s]), r.u) for r in sums if r.source == s)[1] for s in have}
-    rated = rated.withColumn("all", rounded(_by_source(best or {"": 0.5})))
+    rated = rated.groupBy("source").applyInPandas(_rounded, "source string, n_tokens bigint, n bigint, rate double, all bigint")
     rated = cut(rated.select(F.concat_ws("\u0001", "source", F.col("n_tokens").cast("string")).alias("cell"), "n", "rate", "all"))
 
     docs = cut(sizes.where(F.col("source").isin(*have) if have else F.lit(False)).withColumn("cell", F.concat_ws("\u0001", "source", F.col("n_tokens").cast("string"))))
