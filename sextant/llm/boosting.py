@@ -28,7 +28,28 @@ class Trees:
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
+        return sigmoid(self.logit(x))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50, l2: float = 1e-2) -> tuple[float, float]:
+    """Slope and shift that calibrate logits ``z`` to labels ``y`` (Newton steps; targets are drawn in by one label each)."""
+    ones = y.sum()
+    t = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    w = np.array([1.0, 0.0])
+    x = np.stack([np.clip(z, -30, 30), np.ones(len(z))], axis=1)
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        grad = x.T @ (p - t) + l2 * (w - np.array([1.0, 0.0]))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([l2 + 1e-6, l2 + 1e-6])
+        step = np.linalg.solve(hess, grad)
+        w = w - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 24, l2: float = 1.0) -> Trees:
