@@ -1,14 +1,17 @@
 """Filling containers of fixed capacity: hierarchical multi-length packing.
 
 A text that exceeds the capacity is cut into full pieces and a rest, every other text stays whole.
-Pieces are routed to tiers (the capacity, a half, a quarter and so on; a piece goes to the smallest tier
-that holds it). Tiers are packed from the longest down: the pieces of a tier first fill the gaps that
-longer tiers left, each the tightest gap that takes it, and only then open windows of their own.
-Windows are dealt to step groups in serpentine order of fill, so that groups are of even size.
+
+1. Pieces are routed to tiers of context sizes: the capacity, a half, a quarter and so on; a piece goes to the
+   smallest size that holds it.
+2. Tiers are packed from the longest down. A piece first fills a gap that windows of longer tiers or its own have left,
+   the tightest that takes it; where there is none, windows of the tier's own size are opened.
+3. Windows are put together to containers of the full capacity, again best fit first, by how much they hold.
+4. Containers are dealt to step groups in serpentine order of fill, so that groups are of even size.
 
 All pieces of one length are alike to the packing, so it works on the histogram of lengths, which has at
 most ``capacity`` entries however many texts there are; the result is a table of ranges ("the pieces of
-length l with ranks a to b go to windows from c on"). Each piece finds its window by its rank among the
+length l with ranks a to b go to containers from c on"). Each piece finds its container by its rank among the
 pieces of its length, a distributed step.
 """
 
@@ -36,55 +39,86 @@ def tier_of(length: int, capacity: int, tiers: int) -> int:
     return t
 
 
-def plan(histogram: dict[int, int], capacity: int, tiers: int = 4) -> tuple[list[tuple], int]:
-    """Ranges (length, rank_from, rank_to, window_from, place_from, fill, tier) and the number of windows.
-
-    Windows of the same fill and tier lie side by side; ``place`` numbers all windows by falling fill.
-    """
-    open_: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # room -> (first window, windows, tier)
+def best_fit(histogram: dict[int, int], capacity: int, tiers: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
+    """Ranges (length, rank_from, rank_to, window_from) and groups of alike windows (first, count, fill, tier), by first window."""
+    open_: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # room -> (first window, windows, tier, size)
     rooms: list[int] = []
     put: list[tuple[int, int, int, int]] = []
     n = 0
 
-    def add(room: int, first: int, count: int, tier: int) -> None:
+    def add(room: int, first: int, count: int, tier: int, size: int) -> None:
         if not open_[room]:
             bisect.insort(rooms, room)
-        open_[room].append((first, count, tier))
+        open_[room].append((first, count, tier, size))
 
-    for length in sorted((x for x in histogram if x > 0), reverse=True):
+    for length in sorted((x for x in histogram if x > 0), reverse=True):  # so tiers come from the longest down
         left, rank = histogram[length], 0
         while left:
             i = bisect.bisect_left(rooms, length)
             if i == len(rooms):
-                count = -(-left // (capacity // length))
-                add(capacity, n, count, tier_of(length, capacity, tiers))
+                tier = tier_of(length, capacity, tiers)
+                size = capacity >> tier
+                count = -(-left // (size // length))
+                add(size, n, count, tier, size)
                 n += count
                 continue
             room = rooms[i]
-            first, count, tier = open_[room].pop()
+            first, count, tier, size = open_[room].pop()
             if not open_[room]:
                 rooms.pop(i)
             take = min(left, count)
             put.append((length, rank, rank + take, first))
-            add(room - length, first, take, tier)
+            add(room - length, first, take, tier, size)
             if take < count:
-                add(room, first + take, count - take, tier)
+                add(room, first + take, count - take, tier, size)
             left, rank = left - take, rank + take
-    final = sorted((first, count, capacity - room, tier) for room, groups in open_.items() for first, count, tier in groups)
+    return put, sorted((first, count, size - room, tier) for room, groups in open_.items() for first, count, tier, size in groups)
+
+
+def plan(histogram: dict[int, int], capacity: int, tiers: int = 4) -> tuple[list[tuple], int]:
+    """Ranges (length, rank_from, rank_to, container_from, place_from, fill, tier) and the number of containers.
+
+    ``tier`` is that of the window inside the container; ``place`` numbers all containers by falling fill.
+    """
+    put, windows = best_fit(histogram, capacity, tiers)
+    held: dict[int, int] = defaultdict(int)
+    for _, count, fill, _ in windows:
+        held[fill] += count
+    put_windows, containers = best_fit(held, capacity, 1)
     place, at = {}, 0
-    for first, count, _, _ in sorted(final, key=lambda g: (-g[2], g[3], g[0])):
+    for first, count, _, _ in sorted(containers, key=lambda g: (-g[2], g[0])):
         place[first] = at
         at += count
-    firsts = [g[0] for g in final]
+    firsts = [g[0] for g in containers]
+    # where the windows of each fill go, cut where the groups of containers part
+    goes: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # fill -> (rank_from, rank_to, container_from, group)
+    for fill, a, b, container in put_windows:
+        i = bisect.bisect_right(firsts, container) - 1
+        while a < b:
+            take = min(b - a, firsts[i] + containers[i][1] - container)
+            goes[fill].append((a, a + take, container, i))
+            a, container, i = a + take, container + take, i + 1
+    segments: list[tuple[int, int, int, int, int]] = []  # (first window, windows, first container, group, tier), by first window
+    seen: dict[int, int] = defaultdict(int)
+    for first, count, fill, tier in windows:
+        rank, end = seen[fill], seen[fill] + count
+        k = bisect.bisect_right(goes[fill], rank, key=lambda g: g[0]) - 1
+        while rank < end:
+            a, b, container, i = goes[fill][k]
+            take = min(b, end) - rank
+            segments.append((first, take, container + rank - a, i, tier))
+            first, rank, k = first + take, rank + take, k + 1
+        seen[fill] = end
+    starts = [g[0] for g in segments]
     out = []
-    for length, a, b, window in put:  # cut each range where the windows part
-        i = bisect.bisect_right(firsts, window) - 1
+    for length, a, b, window in put:  # cut each range where the segments part
+        k = bisect.bisect_right(starts, window) - 1
         while a < b:
-            first, count, fill, tier = final[i]
-            take = min(b - a, first + count - window)
-            out.append((length, a, a + take, window, place[first] + window - first, fill, tier))
-            a, window, i = a + take, window + take, i + 1
-    return out, n
+            first, count, container, i, tier = segments[k]
+            take, container = min(b - a, first + count - window), container + window - first
+            out.append((length, a, a + take, container, place[firsts[i]] + container - firsts[i], containers[i][2], tier))
+            a, window, k = a + take, window + take, k + 1
+    return out, sum(g[1] for g in containers)
 
 
 def pack(sizes: DataFrame, specs: DataFrame, tiers: int = 4, step_windows: int = 8) -> DataFrame:

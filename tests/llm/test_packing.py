@@ -27,6 +27,17 @@ def test_plan_places_every_piece_once(hist):
     assert n <= 2 * -(-tokens // 64) + 1
 
 
+def test_tiers_have_windows_of_their_own():
+    """Pieces of a shorter tier fill gaps of longer windows first and then share windows of their own size; containers are as full as without tiers."""
+    hist = {60: 3, 20: 5, 9: 14, 4: 7, 3: 30, 2: 40, 1: 60}
+    put, windows = packing.best_fit(hist, 64, 4)
+    sizes = {tier: max(fill for _, _, fill, t in windows if t == tier) for tier in {t for *_, t in windows}}
+    assert all(most <= 64 >> tier for tier, most in sizes.items()) and {0, 1, 2} <= set(sizes)
+    assert put[0][0] == 60 and all(fill == 64 for _, _, fill, t in windows if t == 0)  # gaps of the long windows are filled
+    where = lambda tiers: {(length, a, b, c) for length, a, b, c, *_ in packing.plan(hist, 64, tiers)[0]}
+    assert where(1) != where(3) and packing.plan(hist, 64, 4)[1] <= packing.plan(hist, 64, 1)[1] + 1
+
+
 def test_pack_rows(spark):
     rows = [(1, 5), (2, 23), (3, None), (4, 0), (5, 10), (5, 10), (6, 7)]
     sizes = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id bigint, n_tokens bigint, spec_id int, source string")
