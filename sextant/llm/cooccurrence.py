@@ -2,6 +2,9 @@
 
 Baskets become sorted arrays of item numbers without repeats, identical arrays are grouped into one
 with a weight, pairs are enumerated once for each distinct basket and the weights are summed.
+A basket is cut into blocks of ``BLOCK`` items before it is collected, so no array and no row is larger than
+a block: small baskets are one block and collapse whole; of large ones every pair of blocks is a row of
+its own, and these rows are dealt to all tasks before their pairs are made.
 
 Two exact bounds keep the enumeration small, neither loses a pair of the result:
 ``n_ab <= min(n_a, n_b)``, so an item in fewer than ``min_count`` baskets has no pair, and
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 
 from sextant.runtime import cut, sized, skew_join
 
-#: Pairs that one row of the enumeration makes at most, unless one item has more partners.
-CHUNK_PAIRS = 20_000
+#: Items of a block; a row of the enumeration makes at most BLOCK * BLOCK pairs.
+BLOCK = 256
 
 
 def cooccurring_pairs(df: DataFrame, basket: str | Column, items: str | Column, min_count: int = 6, min_lift: float = 3.0) -> DataFrame:
@@ -45,15 +48,22 @@ def cooccurring_pairs(df: DataFrame, basket: str | Column, items: str | Column,
     sizes = pairs_in.groupBy("id").agg(F.count("*").alias("n_item"))
     sizes = cut(sizes.where((F.col("n_item") >= min_count) & (F.col("n_item") * F.lit(min_lift) <= F.lit(n))))
     kept = skew_join(pairs_in, sizes.withColumn("w", F.col("n_item")), "id", "w", total).select("basket", "id")
-    arrays = kept.groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("b")).where("size(b) > 1")
-    distinct = arrays.groupBy("b").agg(F.count("*").alias("weight"))
-
-    # one row for each run of first items, so that the pairs of a huge basket can spread over tasks
-    step = F.expr(f"greatest(1, {CHUNK_PAIRS} div size(b))")
-    runs = distinct.withColumn("step", step).select("b", "weight", "step", F.expr("explode(sequence(1, size(b) - 1, cast(step as int))) as start"))
-    firsts = runs.select("b", "weight", F.expr("explode(sequence(start, least(start + cast(step as int) - 1, size(b) - 1))) as i"))
-    pairs = firsts.select(F.expr("b[i - 1]").alias("a"), "weight", F.expr("explode(slice(b, i + 1, size(b)))").alias("c"))
-    together = pairs.groupBy("a", "c").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= min_count)
+    # items of a basket go to blocks by a hash; the count of a basket is made in parts, so a huge one is no heavy group
+    counts = kept.groupBy("basket").agg(F.count("*").alias("k"))
+    large = cut(counts.where(F.col("k") > BLOCK).select("basket", F.ceil(F.col("k") / F.lit(BLOCK / 2)).cast("int").alias("blocks")))
+    dealt = kept.join(sized(large), "basket", "left").select("basket", "id", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    arrays = cut(dealt.groupBy("basket", "blocks", "block").agg(F.sort_array(F.collect_list("id")).alias("b")))
+    inside = arrays.where("size(b) > 1").groupBy("b").agg(F.count("*").alias("weight")).select("weight", F.col("b").alias("l"), F.col("b").alias("r"), F.lit(True).alias("same"))
+    # of a large basket: each block beside all later ones
+    blocks = arrays.where("blocks > 1").select("basket", "block", "b", "blocks")
+    left = blocks.where("block < blocks - 1").select("basket", F.col("b").alias("l"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    across = left.repartition("basket", "block").join(blocks.select("basket", "block", F.col("b").alias("r")), ["basket", "block"]).select(F.lit(1).cast("bigint").alias("weight"), "l", "r", F.lit(False).alias("same"))
+    # by number, as adaptive execution would merge partitions by the bytes of the blocks and not by the pairs they make
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = inside.unionByName(across).repartition(tasks, F.xxhash64("l", "r"))
+    firsts = every.select("weight", "r", "same", F.posexplode("l").alias("i", "x"))
+    pairs = firsts.select("weight", "x", F.explode(F.when(F.col("same"), F.slice("r", F.col("i") + 2, F.greatest(F.size("r") - F.col("i") - 1, F.lit(0)))).otherwise(F.col("r"))).alias("y"))
+    together = pairs.select("weight", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("c")).groupBy("a", "c").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= min_count)
 
     side = sized(sizes)
     ends = sized(words.select("id", "item"))

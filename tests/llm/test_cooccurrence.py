@@ -33,7 +33,7 @@ def test_shuffled_path_gives_the_same(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(k, [f"f{rng.randrange(9)}" for _ in range(3)]) for k in range(80)]
     monkeypatch.setattr("sextant.runtime.BROADCAST_ROWS", 0)
-    monkeypatch.setattr(O, "CHUNK_PAIRS", 1)
+    monkeypatch.setattr(O, "BLOCK", 2)
     monkeypatch.setattr(O, "sized", lambda df: df)
     split = O.skew_join
     monkeypatch.setattr(O, "skew_join", lambda *a, **k: split(*a, **k, most_rows=0))
@@ -42,3 +42,14 @@ def test_shuffled_path_gives_the_same(spark, monkeypatch):
 
 def test_empty(spark):
     assert run(spark, []) == {} and run(spark, [(1, ["a"])]) == {}
+
+
+def test_a_huge_basket_is_spread(spark, monkeypatch):
+    """A basket with most of all rows: its pairs are made in several tasks, and none is lost."""
+    monkeypatch.setattr(O, "BLOCK", 8)
+    rows = [(1, [f"i{k}" for k in range(120)]), (2, [f"i{k}" for k in range(0, 120, 3)])] + [(10 + k, [f"i{k % 120}", "other"]) for k in range(400)]
+    spread, cut = [], O.cut
+    monkeypatch.setattr(O, "cut", lambda df: spread.append(cut(df)) or spread[-1])
+    assert run(spark, rows, 2, 1.5) == brute(rows, 2, 1.5)
+    sizes = [r.k for df in spread if "blocks" in df.columns and "b" in df.columns for r in df.selectExpr("size(b) as k").collect()]
+    assert len(sizes) > 20 and max(sizes) < 24
