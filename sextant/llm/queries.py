@@ -42,20 +42,23 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consensus of each item with votes of three users or more."""
-    items, _ = C.discover(C.last_votes(table(spark, sf_dir, "feedback")))
-    return C.consensus(items).select("item_id", "consensus")
+    return C.consensus(C.trust(C.last_votes(table(spark, sf_dir, "feedback")))[0]).select("item_id", "consensus")
 
 
 def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with confidence and agreement."""
-    items, _ = C.discover(C.last_votes(table(spark, sf_dir, "feedback")))
-    return C.consensus(items)
+    return C.consensus(C.trust(C.last_votes(table(spark, sf_dir, "feedback")))[0])
 
 
 def p4_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reliability of each user."""
-    _, sources = C.discover(C.last_votes(table(spark, sf_dir, "feedback")))
-    return C.reliability(sources)
+    people = C.trust(C.last_votes(table(spark, sf_dir, "feedback")))[1]
+    return people.select("voter", F.col("n").alias("n_votes"), "distance", "weight", "reliability")
+
+
+def p4_users_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where each label of a user is a source of its own, for voters who mostly vote wrong or always the same."""
+    return C.reliability(C.discover(C.last_votes(table(spark, sf_dir, "feedback")))[1])
 
 
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:

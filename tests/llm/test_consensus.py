@@ -47,3 +47,25 @@ def test_few_and_none(spark):
     assert [(r.item_id, r.n_users, r.n_up) for r in got] == [(2, 3, 2)] and abs(got[0].agreement - 1 / 3) < 1e-9
     items, sources = C.discover(C.last_votes(votes(spark, []).limit(0)))
     assert items.count() == 0 and C.reliability(sources).count() == 0
+
+
+def test_named_weighting(spark):
+    """Weights are chi-squared quantile over squared distance; trusted voters outweigh the majority, one lucky vote doesn't count much, the estimate settles."""
+    rng = np.random.default_rng(2)
+    rows, truth = [], {}
+    for i in range(150):
+        t = int(rng.random() < 0.5)
+        truth[i] = "up" if t else "down"
+        right = lambda p: "up" if (t if rng.random() < p else 1 - t) else "down"  # noqa: E731, B023
+        rows += [(i, right(0.95), f"good{u}", "2024-01-01") for u in range(3)] + [(i, right(0.5), f"coin{u}", "2024-01-01") for u in range(4)] + [(i, right(1.0), f"once{i}", "2024-01-01")]
+    items, people, progress = C.trust(C.last_votes(votes(spark, rows)))
+    got = {r.item_id: r.consensus for r in C.consensus(items).collect()}
+    assert progress.converged and 1 < progress.rounds <= 40
+    assert sum(got[i] == truth[i] for i in truth) > 0.95 * len(truth)
+    by = {r.voter: r for r in people.collect()}
+    assert by["good0"].weight > 4 * by["coin0"].weight and by["good0"].weight > 10 * by["once0"].weight
+    assert by["good0"].reliability > 0.8 > by["coin0"].reliability >= 0
+    chi = {r.n: r.q for r in people.select("n", C.chi2_lower(F.col("n").cast("double")).alias("q")).distinct().collect()}
+    assert all(abs(r.weight - chi[r.n] / r.distance) < 1e-9 for r in by.values())
+    empty, nobody, progress = C.trust(C.last_votes(votes(spark, rows)).limit(0))
+    assert empty.count() == 0 and nobody.count() == 0 and progress.converged
