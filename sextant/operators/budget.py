@@ -41,6 +41,7 @@ def cap_truncate(sizes: Column, cap: int, marker: int = 0) -> Column:
 def commentable_lines(patch: Column) -> Column:
     """New-file line numbers of added and context lines of a unified diff; lines before the first hunk count from 0; NULL and empty give an empty array."""
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("out")).cast("struct<next:int,out:array<int>>")
+    # Fixed value: the header of a hunk in a unified diff.
     header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
     def merge(s: Column, line: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sextant.operators.paths import ancestors
+from sextant.operators.paths import ancestors, longest_prefix
 from sextant.runtime import cut, drop_cut, sized, skew_join
 
 
@@ -24,11 +24,14 @@ def page_rank(nodes: DataFrame, edges: DataFrame, steps: int = 20, damping: floa
     m = e.count()
     nodes = cut(nodes.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg")), "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg")))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    lost = nodes.where("deg = 0").count() / max(n, 1)
     for i in range(steps):
         flow = skew_join(e, ranks.where("deg > 0").select(F.col("id").alias("src"), F.col("deg").alias("w"), (F.col("rank") / F.col("deg")).alias("part")), "src", "w", m, rows=n)
         into = flow.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("into"))
-        lost = ranks.where("deg = 0").agg(F.sum("rank")).first()[0] or 0.0
-        new = cut(nodes.join(into, "id", "left").select("id", "deg", (F.lit((1 - damping + damping * lost) / max(n, 1)) + damping * F.coalesce("into", F.lit(0.0))).alias("rank")))
+        new = nodes.join(into, "id", "left").select("id", "deg", (F.lit((1 - damping + damping * lost) / max(n, 1)) + damping * F.coalesce("into", F.lit(0.0))).alias("rank"))
+        seen = Observation()  # the rank of nodes without out-edges is summed while the step is written
+        new = cut(new.observe(seen, F.sum(F.when(F.col("deg") == 0, F.col("rank")).otherwise(0.0)).alias("lost")))
+        lost = seen.get["lost"] or 0.0
         if i:
             drop_cut(ranks)
         ranks = new
@@ -47,24 +50,63 @@ def neighbours(edges: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
     return out.unionByName(into).join(seeds.select(*by, "id").distinct(), [*by, "id"], "left_anti").groupBy(*by, "id").agg(F.count("*").alias("links"))
 
 
+#: A run of letters of qualified PHP names.
+_NAME = r"[\w\\]+"
+
+
 def use_targets(content: Column) -> Column:
-    """Names that a PHP file imports: ``use A\\B;``, ``use A\\{B, C as D};`` without aliases; functions and constants are none."""
-    bodies = F.regexp_extract_all(content, F.lit(r"(?m)^use\s+(?!function\s)(?!const\s)([^;]+);"), F.lit(1))
-    bare = lambda x: F.trim(F.regexp_replace(F.trim(x), r"(?is)\s+as\s.*$", ""))
+    """Names that a PHP file imports: ``use A\\B;``, ``use A\\B, C as D;``, ``use A\\{B, C as D};`` without aliases; functions and constants are none.
+
+    The file is cut into statements; an import is one whose last lines begin with the word ``use`` at the margin. What follows
+    is a list, whose members share what stands before a brace; the first name of each member counts.
+    """
+    first = lambda x: F.regexp_extract(x, _NAME, 0)
+    statements = F.transform(F.slice(F.split(content, ";"), 1, F.greatest(F.size(F.split(content, ";")) - 1, F.lit(0))), lambda s: F.element_at(F.split(s, r"\n(?=use\s)"), -1))
+    lists = F.transform(F.filter(statements, lambda s: s.rlike(r"\Ause\s")), lambda s: F.trim(F.regexp_replace(F.substring(s, 4, 1 << 30), r"\s+", " ")))
 
     def names(body: Column) -> Column:
-        b = F.trim(body)
-        head, inner = F.regexp_extract(b, r"^([A-Za-z0-9_\\]+)\\\{([^}]+)\}$", 1), F.regexp_extract(b, r"^([A-Za-z0-9_\\]+)\\\{([^}]+)\}$", 2)
-        members = F.filter(F.transform(F.split(inner, ","), bare), lambda m: m != "")
-        return F.when(head != "", F.transform(members, lambda m: F.concat(head, F.lit("\\"), m))).otherwise(F.filter(F.array(bare(b)), lambda m: m != ""))
+        kind = F.substring_index(body, " ", 1)
+        group = F.contains(body, F.lit("{"))
+        head = F.when(group, F.concat(F.rtrim(F.trim(F.substring_index(body, "{", 1)), F.lit("\\")), F.lit("\\"))).otherwise("")
+        members = F.split(F.when(group, F.substring_index(F.substring_index(body, "{", -1), "}", 1)).otherwise(body), ",")
+        members = F.filter(F.transform(members, lambda m: F.trim(m)), lambda m: (first(m) != "") & ~F.substring_index(m, " ", 1).isin("function", "const"))
+        return F.when(kind.isin("function", "const"), F.array().cast("array<string>")).otherwise(F.transform(members, lambda m: F.concat(head, first(m))))
 
-    return F.flatten(F.transform(bodies, names))
+    return F.flatten(F.transform(lists, names))
 
 
 def body_references(content: Column) -> Column:
     """Full names ``App\\X\\Y`` (two parts or more after App) anywhere in a file, without a leading backslash."""
-    found = F.regexp_extract_all(content, F.lit(r"\\?App\\[A-Za-z0-9_]+(?:\\[A-Za-z0-9_]+)+"), F.lit(0))
-    return F.transform(found, lambda x: F.regexp_replace(x, r"^\\", ""))
+    runs = F.transform(F.regexp_extract_all(content, F.lit(_NAME), F.lit(0)), lambda x: F.trim(x, F.lit("\\")))
+    return F.filter(runs, lambda x: F.startswith(x, F.lit("App\\")) & (F.size(F.split(x, r"\\+")) > 2))
+
+
+def php_members(content: Column) -> Column:
+    """struct(namespace, name, methods) of the first class, interface, trait or enum of a PHP file, NULL if it has none.
+
+    Lines are cut into words; a declaration at the margin is a kind after modifiers only, a public method a line whose
+    words are ``public``, perhaps ``static``, ``function`` and the name; constructors are left out.
+    """
+    modifiers, kinds = ("abstract", "final", "readonly"), ("class", "interface", "trait", "enum")
+    lines = F.split(content, r"\r?\n")
+    words = lambda x: F.filter(F.split(x, r"[\s(){;:]+"), lambda w: w != "")
+    at_margin = F.transform(F.filter(lines, lambda x: x.rlike(r"^[a-z]")), words)
+    declared = F.filter(F.transform(at_margin, lambda w: F.filter(w, lambda x: ~x.isin(*modifiers))), lambda w: (F.size(w) > 1) & F.get(w, F.lit(0)).isin(*kinds))
+    spaces = F.filter(at_margin, lambda w: (F.size(w) > 1) & (F.get(w, F.lit(0)) == "namespace"))
+    public = F.filter(F.transform(F.filter(lines, lambda x: F.contains(x, F.lit("(")) & F.contains(x, F.lit("function"))), words), lambda w: F.get(w, F.lit(0)) == "public")
+    plain = F.filter(F.transform(public, lambda w: F.filter(w, lambda x: x != "static")), lambda w: F.get(w, F.lit(1)) == "function")
+    methods = F.filter(F.transform(plain, lambda w: F.get(w, F.lit(2))), lambda m: m.isNotNull() & (m != "__construct"))
+    name = F.get(F.get(declared, F.lit(0)), F.lit(1))
+    return F.when(name.isNotNull(), F.struct(F.get(F.get(spaces, F.lit(0)), F.lit(1)).alias("namespace"), name.alias("name"), methods.alias("methods")))
+
+
+def module_centrality(ranks: DataFrame, modules: DataFrame) -> DataFrame:
+    """(path, rank): the sum of the ranks of each module's files; files outside all modules add nothing.
+
+    ``ranks``: id (a file's path), rank; ``modules``: path. A file counts for its longest matching module.
+    """
+    owner = longest_prefix(ranks.select(F.col("id").alias("f")), modules.select("path"))
+    return ranks.join(owner.withColumnRenamed("f", "id"), "id").groupBy("path").agg(F.sum("rank").alias("rank"))
 
 
 def resolve(names: DataFrame, prefixes: DataFrame) -> DataFrame:

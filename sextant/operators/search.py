@@ -13,7 +13,14 @@ from sextant.runtime import cut, sized
 SIGNALS = ("title_sim", "fts", "cochange", "centrality")
 # The weights of the default ranking and those that the grid tries.
 DEFAULT_WEIGHTS = (0.5, 0.2, 0.2, 0.1)
-GRID = {"default": (0.5, 0.2, 0.2, 0.1), "title": (0.7, 0.1, 0.1, 0.1), "lexical": (0.3, 0.4, 0.2, 0.1), "cochange": (0.35, 0.2, 0.35, 0.1), "even": (0.25, 0.25, 0.25, 0.25)}
+# The weightings that are compared, for title_sim, fts, cochange, centrality.
+GRID = {
+    "default": (0.35, 0.35, 0.2, 0.1),
+    "fts-heavy": (0.2, 0.5, 0.2, 0.1),
+    "titleSim-heavy": (0.5, 0.2, 0.2, 0.1),
+    "no-centrality": (0.4, 0.4, 0.2, 0.0),
+    "cochange-heavy": (0.25, 0.25, 0.4, 0.1),
+}
 
 
 def similar(queries: DataFrame, entries: DataFrame, top: int = 15, excluded: Column | None = None) -> DataFrame:

@@ -212,7 +212,7 @@ SQL = {
     "trailing_days": "SELECT user_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1",
     "last_value_per_user": "SELECT user_id, event_type, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "dedup_events": "SELECT event_id, user_id, event_type, ts::DATE AS day FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1 OR event_type = 'error'",
-    "demux_events": "SELECT event_id, event_type AS stream, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'error')",
+    "demux_events": f"SELECT event_id, CASE WHEN list_contains({KINDS}, event_type) THEN event_type ELSE 'other' END AS stream, (props->>'$.k')::BIGINT AS k FROM events",
     "feedback_aggregate": r"""WITH f AS (SELECT regexp_replace(trim("modulePath"), '^\./', '') AS module, lower(trim(coalesce(verdict, ''))) = 'up' AS up FROM feedback WHERE "modulePath" IS NOT NULL) SELECT module, count(*) FILTER (up) AS ups, count(*) FILTER (NOT up) AS downs, count(*) AS total FROM f GROUP BY 1""",
     "feedback_recent50": 'SELECT feedback_id, item_id, verdict FROM feedback ORDER BY "at" DESC NULLS LAST, feedback_id DESC LIMIT 50',
     "valid_feedback": """SELECT feedback_id, CASE WHEN coalesce(trim("taskText"), '') = '' THEN 'no text' WHEN coalesce(trim("modulePath"), '') = '' THEN 'no module' WHEN coalesce(lower(trim(verdict)), '') NOT IN ('up', 'down') THEN 'no verdict' ELSE 'ok' END AS state, substr(trim("taskText"), 1, 200) AS text FROM feedback""",

@@ -54,27 +54,30 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_in_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first JSON object in each comment, if there is one."""
+    """The JSON of each comment: the whole text, or the first object in it, if there is one."""
     c = table(spark, sf_dir, "jira_comments").select("comment_id", J.extract_json("body").alias("found"))
-    return c.where("found is not null and startswith(found, '{')").select("comment_id", F.get_json_object("found", "$.nome").alias("name"), F.length("found").alias("length"))
+    return c.where("found is not null").select("comment_id", F.get_json_object("found", "$.nome").alias("name"), F.length("found").alias("length"))
 
 
-def _one_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "jira_raw").where("shape = 'issue' and payload is not null")
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, issue_no, issue): each issue of a payload that is whole, of one issue or of a search, as JSON."""
+    raw = table(spark, sf_dir, "jira_raw").where(F.try_parse_json("payload").isNotNull())
+    found = F.when(F.col("shape") == "search", F.from_json(F.get_json_object("payload", "$.issues"), "array<string>")).otherwise(F.array("payload"))
+    return raw.select("record_id", F.posexplode(found).alias("issue_no", "issue")).where("issue is not null")
 
 
 def issue_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat fields of single issues: names with defaults, labels, number of sub-tasks. Broken JSON has NULL fields."""
+    """Flat fields of all issues, fetched alone or by a search: names with defaults, labels, number of sub-tasks. Broken JSON has no rows."""
     schema = "key string, fields struct<summary string, status struct<name string>, priority struct<name string>, issuetype struct<name string>, labels array<string>, subtasks array<struct<key string>>, parent struct<key string>>"
-    j = _one_issue(spark, sf_dir).select("record_id", F.from_json("payload", schema, {"mode": "PERMISSIVE"}).alias("j"), F.try_parse_json("payload").isNotNull().alias("whole"))
-    f = j.where("whole").select("record_id", "j.key", "j.fields.*")
-    return f.select("record_id", "key", "summary", F.coalesce("status.name", F.lit("?")).alias("status"), F.coalesce("priority.name", F.lit("Medium")).alias("priority"), F.coalesce("issuetype.name", F.lit("?")).alias("type"), F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"), F.coalesce(F.size("subtasks"), F.lit(0)).alias("n_subtasks"), F.col("parent.key").alias("parent"))
+    j = _issues(spark, sf_dir).select("record_id", "issue_no", F.from_json("issue", schema, {"mode": "PERMISSIVE"}).alias("j"))
+    f = j.select("record_id", "issue_no", "j.key", "j.fields.*")
+    return f.select("record_id", "issue_no", "key", "summary", F.coalesce("status.name", F.lit("?")).alias("status"), F.coalesce("priority.name", F.lit("Medium")).alias("priority"), F.coalesce("issuetype.name", F.lit("?")).alias("type"), F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"), F.coalesce(F.size("subtasks"), F.lit(0)).alias("n_subtasks"), F.col("parent.key").alias("parent"))
 
 
 def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain text of single issues' descriptions."""
-    j = _one_issue(spark, sf_dir).select("record_id", F.get_json_object("payload", "$.fields.description").alias("d"))
-    return j.select("record_id", J.flatten_rich_text(F.col("d")).alias("text"), J.flatten_rich_text(F.col("d"), False).alias("run_together"))
+    """The plain text of all issues' descriptions."""
+    j = _issues(spark, sf_dir).select("record_id", "issue_no", F.get_json_object("issue", "$.fields.description").alias("d"))
+    return j.select("record_id", "issue_no", J.flatten_rich_text(F.col("d")).alias("text"), J.flatten_rich_text(F.col("d"), False).alias("run_together"))
 
 
 def composed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +117,10 @@ SQL = {
     "url_ref_extract": r"SELECT doc_id, replace(r, '/pull/', '#') AS ref FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '(?i)https?://[^/\s]+/([^\s]+?/pull/\d+)', 1))) AS r FROM documents)",
     "log_lines": r"""WITH l AS (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents WHERE text IS NOT NULL), h AS (SELECT regexp_extract(line, '^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ ([A-Z]+) (\S+) code=(\d+)$', ['level', 'place', 'code']) AS m FROM l WHERE regexp_matches(line, '^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ ([A-Z]+) (\S+) code=(\d+)$'))
     SELECT m.level AS level, m.place AS place, count(*) AS n, max(m.code::BIGINT) AS most_code FROM h GROUP BY ALL""",
-    "json_in_prose": r"WITH x AS (SELECT comment_id, regexp_extract(body, '\{[^{}]*\}') AS j FROM jira_comments) SELECT comment_id, j->>'$.nome' AS name, length(j) AS length FROM x WHERE j <> '' AND json_valid(j)",
-    "issue_fields": """WITH p AS (SELECT record_id, payload::JSON AS j FROM jira_raw WHERE shape = 'issue' AND json_valid(payload))
-    SELECT record_id, j->>'$.key' AS key, j->>'$.fields.summary' AS summary, coalesce(j->>'$.fields.status.name', '?') AS status, coalesce(j->>'$.fields.priority.name', 'Medium') AS priority, coalesce(j->>'$.fields.issuetype.name', '?') AS type, coalesce(array_to_string((j->'$.fields.labels')::VARCHAR[], ','), '') AS labels, coalesce(json_array_length(j->'$.fields.subtasks'), 0) AS n_subtasks, j->>'$.fields.parent.key' AS parent FROM p""",
+    "json_in_prose": r"WITH x AS (SELECT comment_id, CASE WHEN json_valid(trim(body)) THEN trim(body) ELSE regexp_extract(body, '\{[^{}]*\}') END AS j FROM jira_comments) SELECT comment_id, j->>'$.nome' AS name, length(j) AS length FROM x WHERE j <> '' AND json_valid(j)",
+    "issue_fields": """WITH r AS (SELECT record_id, CASE WHEN shape = 'search' THEN (payload::JSON->'$.issues')::JSON[] ELSE [payload::JSON] END AS a FROM jira_raw WHERE json_valid(payload)),
+    p AS (SELECT record_id, unnest(a) AS j, generate_subscripts(a, 1)::INT - 1 AS issue_no FROM r)
+    SELECT record_id, issue_no, j->>'$.key' AS key, j->>'$.fields.summary' AS summary, coalesce(j->>'$.fields.status.name', '?') AS status, coalesce(j->>'$.fields.priority.name', 'Medium') AS priority, coalesce(j->>'$.fields.issuetype.name', '?') AS type, coalesce(array_to_string((j->'$.fields.labels')::VARCHAR[], ','), '') AS labels, coalesce(json_array_length(j->'$.fields.subtasks'), 0) AS n_subtasks, j->>'$.fields.parent.key' AS parent FROM p""",
     "composed_text": """WITH c AS (SELECT issue_id, string_agg(body, chr(10) || '---' || chr(10) ORDER BY place) AS said FROM (SELECT issue_id, body, row_number() OVER (PARTITION BY issue_id ORDER BY created DESC NULLS LAST, comment_id DESC) AS place FROM jira_comments WHERE trim(coalesce(body, '')) <> '') WHERE place <= 8 GROUP BY 1)
     SELECT issue_id, substr(concat_ws(chr(10) || chr(10), nullif(trim(summary), ''), 'Parent: ' || nullif(trim(parent_summary), ''), CASE WHEN len(labels) > 0 THEN 'Labels: ' || array_to_string(labels, ', ') END, nullif(trim(description), ''), 'Comments:' || chr(10) || said), 1, 6000) AS text FROM jira_issues LEFT JOIN c USING (issue_id)""",
     "table_text": "SELECT path, '| ' || concat_ws(' | ', replace(coalesce(name, ''), '|', '\\|'), replace(path, '|', '\\|'), files::VARCHAR, replace(coalesce(summary, ''), '|', '\\|')) || ' |' AS markdown, rpad(path, 30, ' ') || ' ' || lpad(files::VARCHAR, 6, ' ') AS fixed FROM modules",

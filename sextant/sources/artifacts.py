@@ -41,13 +41,16 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where((line != "") & ~line.startswith("#") & F.contains(line, F.lit("="))).select(F.trim(F.substring_index(line, "=", 1)).alias("name"), F.trim(F.expr("substring(trim(value), locate('=', trim(value)) + 1)")).alias("value"))
 
 
-def read_archives(spark: SparkSession, path: str, roots: tuple[str, ...] = (), endings: tuple[str, ...] = ()) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, roots: tuple[str, ...] = (), endings: tuple[str, ...] = (), errors: bool = False) -> DataFrame:
     """(archive, path, content) of the text files in .tar.gz archives, without their first folder.
 
     Only paths under one of ``roots`` and with one of ``endings`` are unpacked (an empty tuple allows all). Long names
-    are read; a broken archive gives the members before the break.
+    are read; a broken archive gives the members before the break. With ``errors`` there is a fourth column ``error``,
+    and a broken archive has a row more that holds it, without path and content.
     """
 
+    columns = ["archive", "path", "content"] + ["error"] * errors
+
     def unpack(batches: Iterator) -> Iterator:
         import pandas as pd
 
@@ -59,12 +62,13 @@ def read_archives(spark: SparkSession, path: str, roots: tuple[str, ...] = (), e
                         for member in tar:
                             inner = member.name.partition("/")[2]
                             if member.isfile() and inner and (not roots or inner.startswith(roots)) and (not endings or inner.endswith(endings)):
-                                rows.append((name, inner, tar.extractfile(member).read().decode("utf-8", "replace")))
-                except (tarfile.TarError, EOFError, OSError):
-                    pass
-                yield pd.DataFrame(rows, columns=["archive", "path", "content"])
+                                rows.append((name, inner, tar.extractfile(member).read().decode("utf-8", "replace"), None))
+                except (tarfile.TarError, EOFError, OSError) as e:
+                    if errors:
+                        rows.append((name, None, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])[columns]
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(unpack, "archive string, path string, content string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(unpack, ", ".join(f"{c} string" for c in columns))
 
 
 def read_deltas(lines: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ def read_events(spark: SparkSession, folder: str, name: str = "events.parquet",
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def route(events: DataFrame) -> dict[str, DataFrame]:
-    """One derived stream (or table) per kind of event."""
-    return {k: events.where(F.col("event_type") == k) for k in ("view", "click", "purchase", "signup", "error")}
+def route(events: DataFrame, kinds: tuple[str, ...] = ("view", "click", "purchase", "signup", "error", "refund")) -> dict[str, DataFrame]:
+    """One derived stream (or table) per kind of event, and "other" for all other kinds and for none."""
+    return {k: events.where(F.col("event_type") == k) for k in kinds} | {"other": events.where(~F.coalesce(F.col("event_type").isin(*kinds), F.lit(False)))}
 
 
 def first_in_window(events: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
@@ -34,14 +34,16 @@ def by_day(events: DataFrame, late: str | None = None) -> DataFrame:
 
 
 def append_new(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Append rows whose keys the table ``target`` does not hold yet, once each, for as long as the table lives."""
+    """Append rows whose keys the table ``target`` does not hold yet, once each, for as long as the table lives.
+
+    A table that exists but can't be read fails the batch, so nothing is appended twice.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(target)
-        except Exception:  # the first batch
-            known = batch.limit(0)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = spark.read.parquet(target) if files.exists(path) and len(files.listStatus(path)) else batch.limit(0)
         without_known(batch.dropDuplicates(keys), known, keys).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -223,3 +223,22 @@ def test_shredding_round_trip(spark):
     texts = [json.dumps(x) for d in docs for x in (d["fields"]["description"],)]
     assert sum(r.value == "é" and r.record_id < 900 and (r.node_path or r.name).startswith("d") for r in leaves if r.node_path.startswith("description") or r.name.startswith("description")) == sum(t.count("\\u00e9") for t in texts)
     assert shred.objects(shred.shred(df.limit(0), ["description"])).count() == 0
+
+
+def test_php_names_and_members(spark):
+    a = "<?php\nuse App\\Models\\User;\nuse App\\Models\\{Team, Role as R};\nuse A\\B, C\\D as E;\nuse A\\{function f, G};\nuse const A\\X;\nfinal class Foo extends Bar\n{\n    use Helper;\n    public function __construct() {}\n    public static function make(int $a): self { return function () use ($a) {}; }\n    public function run()\n    {\n        return new \\App\\Models\\Team();\n    }\n    private function hidden() {}\n}\n"
+    df = spark.createDataFrame([(a,), ("",), (None,), ("class X { function f() { return new \\App\\Models\\Team(); } }",)], "c string")
+    rows = df.select(G.use_targets(F.col("c")).alias("u"), G.body_references(F.col("c")).alias("b"), G.php_members(F.col("c")).alias("m")).collect()
+    assert rows[0].u == ["App\\Models\\User", "App\\Models\\Team", "App\\Models\\Role", "A\\B", "C\\D", "A\\G"]
+    assert rows[0].m.name == "Foo" and rows[0].m.namespace is None and rows[0].m.methods == ["make", "run"]
+    assert rows[1].u == [] and rows[1].b == [] and rows[1].m is None and rows[2].m is None
+    assert rows[3].b == ["App\\Models\\Team"] and rows[3].m.name == "X"
+    named = spark.createDataFrame([("<?php\nnamespace App\\Http;\nabstract class A {}\n",)], "c string").select(G.php_members(F.col("c")).alias("m")).first().m
+    assert (named.namespace, named.name, named.methods) == ("App\\Http", "A", [])
+
+
+def test_module_centrality(spark):
+    ranks = spark.createDataFrame([("a/x.php", 0.5), ("a/b/y.php", 0.25), ("a/b/z.php", 0.125), ("q.php", 0.125)], "id string, rank double")
+    modules = spark.createDataFrame([("a",), ("a/b",)], "path string")
+    assert {r.path: r["rank"] for r in G.module_centrality(ranks, modules).collect()} == {"a": 0.5, "a/b": 0.375}
+    assert G.module_centrality(ranks.limit(0), modules).count() == 0

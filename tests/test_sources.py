@@ -74,3 +74,26 @@ def test_late_duplicates(spark, tmp_path):
     A.write_table(rows, str(tmp_path / "in"))
     s = E.first_in_window(E.read_events(spark, str(tmp_path / "in"), "*.parquet"), ["user_id"]).select("user_id")
     assert E.run_to_table(s, str(tmp_path / "o"), str(tmp_path / "c")).count() == 1
+
+
+def test_broken_archives_are_told(spark, tmp_path):
+    (tmp_path / "broken.tar.gz").write_bytes(b"nothing")
+    got = A.read_archives(spark, str(tmp_path), errors=True).collect()
+    assert len(got) == 1 and got[0].path is None and got[0].error
+
+
+def test_routes_lose_nothing(spark):
+    df = spark.createDataFrame([(1, "view"), (2, "refund"), (3, "new kind"), (4, None)], "event_id int, event_type string")
+    parts = {k: [r.event_id for r in d.collect()] for k, d in E.route(df).items()}
+    assert parts["view"] == [1] and parts["refund"] == [2] and parts["other"] == [3, 4]
+
+
+def test_scratch_on_a_cluster_must_be_shared():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from sextant.runtime import scratch_dir
+
+    with pytest.raises(ValueError):
+        scratch_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://x:7077")))
