@@ -15,6 +15,7 @@ Both directions are narrow: no shuffle, one pass, batches through Arrow.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,6 +116,8 @@ def shred(df: DataFrame, roots: list[str], typed_roots: tuple[str, ...] = ()) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the walks below use one Python frame a level and no C stack, so what the parser reads may be walked
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 400_000))
         schema = pa.schema([("record_id", pa.int64()), ("issue_no", pa.int32()), ("issue_key", pa.string()), ("steps", pa.list_(pa.string())), ("is_type", pa.bool_()), ("reps", pa.list_(pa.int32())), ("defs", pa.list_(pa.int32())), ("vals", pa.list_(pa.string()))])
         for batch in batches:
             rows = []

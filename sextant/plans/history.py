@@ -85,10 +85,9 @@ def cochange_neighbors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cochange_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Co-change of modules without the changes of each umbrella-sized ticket, by subtraction from the whole."""
+    """Co-change of modules without the changes of each ticket, by subtraction from the whole."""
     pm, t = the_pr_modules(spark, sf_dir), the_changes(spark, sf_dir)
-    big = t.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n >= 4").select("key")
-    own = cut(t.select("pr", "key").join(sized(big), "key").join(pm, "pr"))
+    own = cut(t.where("key is not null").select("pr", "key").join(pm, "pr"))
     pairs = C.cochange(pm)
     o = own.select("key", "pr", F.col("path").alias("a")).join(own.select("pr", F.col("path").alias("b")), "pr").where("a <> b").groupBy("key", "a", "b").agg(F.count("*").alias("e_ab"))
     alone = own.groupBy("key", F.col("path").alias("a")).agg(F.count("*").alias("e_a"))
@@ -205,8 +204,8 @@ SQL = {
     SELECT path FROM modules m WHERE EXISTS (SELECT 1 FROM v WHERE v.v = m.path OR starts_with(v.v, m.path || '/') OR starts_with(m.path, v.v || '/'))""",
     "cochange_pairs": f"{_WITH}, {MODULES}, {PAIRS} SELECT a, b, n_ab, n_a, round(conditional, 6) AS conditional FROM cochange",
     "cochange_neighbors_topk": f"{_WITH}, {MODULES}, {PAIRS}, {NEIGHBOURS} SELECT a, b, round(conditional, 6) AS conditional, place FROM neighbours",
-    "cochange_leave_one_out": f"""{_WITH}, {MODULES}, {PAIRS}, big AS (SELECT key FROM changes WHERE key IS NOT NULL GROUP BY key HAVING count(*) >= 4),
-    own AS (SELECT key, pr, path FROM changes JOIN big USING (key) JOIN pr_modules USING (pr)),
+    "cochange_leave_one_out": f"""{_WITH}, {MODULES}, {PAIRS},
+    own AS (SELECT key, pr, path FROM changes JOIN pr_modules USING (pr) WHERE key IS NOT NULL),
     o AS (SELECT x.key, x.path AS a, y.path AS b, count(*) AS e_ab FROM own x JOIN own y ON x.pr = y.pr AND x.path <> y.path GROUP BY ALL),
     s AS (SELECT key, path AS a, count(*) AS e_a FROM own GROUP BY ALL)
     SELECT key, a, b, n_ab - e_ab AS n_ab, n_a - e_a AS n_a, round(CASE WHEN n_a = e_a THEN 0 ELSE (n_ab - e_ab) / (n_a - e_a) END, 6) AS conditional FROM o JOIN s USING (key, a) JOIN cochange USING (a, b)""",

@@ -13,7 +13,7 @@ from sextant.operators import budget as B
 from sextant.operators import merging as M
 from sextant.operators.changes import is_generated
 from sextant.plans.parts import CHANGES, MODULES, the_changes, the_pr_modules
-from sextant.runtime import scratch_dir, sized, table
+from sextant.runtime import cut, scratch_dir, sized, table
 from sextant.streaming import events as E
 
 KINDS = ["view", "click", "purchase", "signup", "error", "refund"]
@@ -165,13 +165,15 @@ def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Module summaries kept where no change of the last thirty days touched the module."""
+    """Module summaries kept where no change of the last thirty days touched the module; modules that no earlier change touched are new."""
     t = the_changes(spark, sf_dir)
     last = t.agg(F.max("mergedAt")).first()[0]
-    recent = t.where(F.col("mergedAt") >= F.lit(last) - F.expr("interval 30 days")).select("pr")
-    touched = the_pr_modules(spark, sf_dir).join(recent, "pr", "left_semi").select("path").distinct()
+    since = F.lit(last) - F.expr("interval 30 days")
+    seen = the_pr_modules(spark, sf_dir).join(t.select("pr", "mergedAt"), "pr").groupBy("path").agg(F.max("mergedAt").alias("latest"), F.min("mergedAt").alias("first"))
+    seen = cut(seen)
+    touched = seen.where(F.col("latest") >= since).select("path")
     mods = table(spark, sf_dir, "modules").select("path", "summary")
-    before = mods.where("length(path) % 5 > 0")
+    before = mods.join(sized(seen.where(F.col("first") < since).select("path")), "path", "left_semi")
     return M.carry_forward(mods, before, sized(touched), "path", "summary")
 
 
@@ -236,4 +238,5 @@ SQL = {
     "stream_first_seen": "SELECT event_id, user_id, event_type FROM events",
 }
 SQL["carry_forward"] = f"""WITH {CHANGES}, {MODULES}, t AS (SELECT DISTINCT path FROM pr_modules JOIN changes USING (pr) WHERE "mergedAt" >= (SELECT max("mergedAt") FROM changes) - INTERVAL 30 DAY),
-    s AS (SELECT path, summary, CASE WHEN length(path) % 5 = 0 THEN 'new' WHEN path IN (SELECT path FROM t) THEN 'dirty' ELSE 'kept' END AS state FROM modules) SELECT path, CASE WHEN state = 'kept' THEN summary END AS summary, state FROM s"""
+    e AS (SELECT DISTINCT path FROM pr_modules JOIN changes USING (pr) WHERE "mergedAt" < (SELECT max("mergedAt") FROM changes) - INTERVAL 30 DAY),
+    s AS (SELECT path, summary, CASE WHEN path NOT IN (SELECT path FROM e) THEN 'new' WHEN path IN (SELECT path FROM t) THEN 'dirty' ELSE 'kept' END AS state FROM modules) SELECT path, CASE WHEN state = 'kept' THEN summary END AS summary, state FROM s"""

@@ -242,3 +242,11 @@ def test_module_centrality(spark):
     modules = spark.createDataFrame([("a",), ("a/b",)], "path string")
     assert {r.path: r["rank"] for r in G.module_centrality(ranks, modules).collect()} == {"a": 0.5, "a/b": 0.375}
     assert G.module_centrality(ranks.limit(0), modules).count() == 0
+
+
+def test_shred_deep_nesting(spark):
+    """What the parser reads is shredded, however deep; what it refuses has no rows."""
+    deep = lambda n: '{"key": "K", "fields": {"description": ' + '{"content": [' * n + "{}" + "]}" * n + "}}"
+    df = spark.createDataFrame([(1, "issue", deep(1500)), (2, "issue", deep(3)), (3, "issue", deep(300000))], "record_id bigint, shape string, payload string")
+    got = {r.record_id: r["count"] for r in shred.objects(shred.shred(df, ["description"])).groupBy("record_id").count().collect()}
+    assert got == {1: 1500, 2: 3}
