@@ -53,6 +53,21 @@ def slug(c: Column, most: int = 60, default: str = "item") -> Column:
     return F.when(s == "", F.lit(default)).otherwise(s)
 
 
+def pull_url(ref: Column, host: str = "https://github.com/") -> Column:
+    """The address of a pull request from ``folders#number``; NULL stays NULL, and what has no number gives NULL."""
+    return F.when(ref.rlike(r"^[^#\s]+#\d+$"), F.concat(F.lit(host), F.replace(ref, F.lit("#"), F.lit("/pull/"))))
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """A share as text, "12.5%"; NULL stays NULL."""
+    return F.concat(F.format_number(100 * share, digits), F.lit("%"))
+
+
+def ends_alike(a: Column, b: Column) -> Column:
+    """Whether one of two paths is the other or ends with it after a slash."""
+    return (a == b) | F.endswith(a, F.concat(F.lit("/"), b)) | F.endswith(b, F.concat(F.lit("/"), a))
+
+
 def short_hash(c: Column) -> Column:
     """First 8 hexadecimal digits of SHA-256."""
     return F.substring(F.sha2(c, 256), 1, 8)

@@ -10,7 +10,7 @@ from sextant.functions import shapes as X
 from sextant.functions import text as T
 from sextant.operators.changes import top_per
 from sextant.plans.parts import sql_tokens
-from sextant.runtime import table
+from sextant.runtime import sized, table
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,38 @@ def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("record_id", "issue_no", J.flatten_rich_text(F.col("d")).alias("text"), J.flatten_rich_text(F.col("d"), False).alias("run_together"))
 
 
+def active_sprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active sprint of each issue that has sprints with a name, else its first; a single object counts as a list of one."""
+    d = F.get_json_object("issue", "$.fields.customfield_10020")
+    each = F.when(F.startswith(d, F.lit("[")), F.from_json(d, "array<string>")).when(F.startswith(d, F.lit("{")), F.array(d))
+    named = F.filter(F.transform(each, lambda x: F.when(F.startswith(x, F.lit("{")), F.struct(F.get_json_object(x, "$.name").alias("name"), F.lower(F.get_json_object(x, "$.state")).alias("state")))), lambda x: x["name"].isNotNull())
+    active = F.filter(named, lambda x: x["state"] == "active")
+    best = F.coalesce(F.get(active, F.lit(0)), F.get(named, F.lit(0)))
+    return _issues(spark, sf_dir).select("record_id", "issue_no", best.alias("s")).where("s is not null").select("record_id", "issue_no", F.col("s.name").alias("sprint"), F.col("s.state").alias("state"))
+
+
+#: A pull request's address: folders, then its number.
+_PULL = r"(?i)https?://[^/\s]+/([^\s]+?/pull/\d+)"
+
+
+def issue_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pull requests that an issue's description, comments or documents link, each once, with the address made from the reference."""
+    i, c = table(spark, sf_dir, "jira_issues"), table(spark, sf_dir, "jira_comments")
+    docs = table(spark, sf_dir, "documents").select(F.col("task_key").alias("key"), "text").join(sized(i.select("key", "issue_id")), "key").select("issue_id", "text")
+    texts = i.select("issue_id", F.col("description").alias("text")).unionByName(c.where("issue_id is not null").select("issue_id", F.col("body").alias("text"))).unionByName(docs)
+    found = texts.select("issue_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_PULL), F.lit(1))).alias("r")).distinct()
+    ref = F.regexp_replace("r", "/pull/", "#")
+    return found.select("issue_id", ref.alias("ref"), T.pull_url(ref).alias("url"))
+
+
+def ticket_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other tickets that an issue names in its summary, description or comments, with how many texts name them."""
+    i, c = table(spark, sf_dir, "jira_issues"), table(spark, sf_dir, "jira_comments")
+    texts = i.select("issue_id", "summary").unionByName(i.select("issue_id", F.col("description").alias("summary"))).unionByName(c.where("issue_id is not null").select("issue_id", F.col("body").alias("summary")))
+    named = texts.select("issue_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("summary", F.lit("")), F.lit(r"\b([A-Z]{2,6}-\d+)\b"), F.lit(1)))).alias("ticket"))
+    return named.join(i.select("issue_id", "key"), "issue_id").where(F.col("key").isNull() | (F.col("key") != F.col("ticket"))).groupBy("issue_id", "ticket").agg(F.count("*").alias("n"))
+
+
 def composed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary, parent, labels, description and the eight latest comments of each issue, 6000 characters at most."""
     c = top_per(table(spark, sf_dir, "jira_comments").where("trim(coalesce(body, '')) <> ''"), ["issue_id"], [F.desc_nulls_last("created"), F.desc("comment_id")], 8)
@@ -105,7 +137,7 @@ def section_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("issue_id", X.upsert_section(F.col("once"), F.col("summary"), "<!-- s -->", "<!-- e -->").alias("body"), X.replace_first(F.col("summary"), "[aeiou]", "_").alias("marked"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, token_df_top, token_overlap, issue_slugs, url_ref_extract, log_lines, json_in_prose, issue_fields, rich_text, composed_text, table_text, section_upsert)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, token_df_top, token_overlap, issue_slugs, url_ref_extract, log_lines, json_in_prose, issue_fields, rich_text, active_sprint, issue_refs, ticket_refs, composed_text, table_text, section_upsert)}
 
 _W = sql_tokens("text")
 SQL = {
@@ -121,6 +153,17 @@ SQL = {
     "issue_fields": """WITH r AS (SELECT record_id, CASE WHEN shape = 'search' THEN (payload::JSON->'$.issues')::JSON[] ELSE [payload::JSON] END AS a FROM jira_raw WHERE json_valid(payload)),
     p AS (SELECT record_id, unnest(a) AS j, generate_subscripts(a, 1)::INT - 1 AS issue_no FROM r)
     SELECT record_id, issue_no, j->>'$.key' AS key, j->>'$.fields.summary' AS summary, coalesce(j->>'$.fields.status.name', '?') AS status, coalesce(j->>'$.fields.priority.name', 'Medium') AS priority, coalesce(j->>'$.fields.issuetype.name', '?') AS type, coalesce(array_to_string((j->'$.fields.labels')::VARCHAR[], ','), '') AS labels, coalesce(json_array_length(j->'$.fields.subtasks'), 0) AS n_subtasks, j->>'$.fields.parent.key' AS parent FROM p""",
+    "active_sprint": """WITH r AS (SELECT record_id, CASE WHEN shape = 'search' THEN (payload::JSON->'$.issues')::JSON[] ELSE [payload::JSON] END AS a FROM jira_raw WHERE json_valid(payload)),
+    p AS (SELECT record_id, unnest(a) AS j, generate_subscripts(a, 1)::INT - 1 AS issue_no FROM r), d AS (SELECT record_id, issue_no, j->'$.fields.customfield_10020' AS d FROM p),
+    l AS (SELECT record_id, issue_no, list_filter(CASE json_type(d) WHEN 'ARRAY' THEN d::JSON[] WHEN 'OBJECT' THEN [d] END, lambda x: json_type(x) = 'OBJECT' AND (x->>'$.name') IS NOT NULL) AS l FROM d),
+    s AS (SELECT record_id, issue_no, coalesce(list_filter(l, lambda x: lower(x->>'$.state') = 'active')[1], l[1]) AS s FROM l WHERE len(l) > 0)
+    SELECT record_id, issue_no, s->>'$.name' AS sprint, lower(s->>'$.state') AS state FROM s""",
+    "issue_refs": r"""WITH t AS (SELECT issue_id, description AS text FROM jira_issues UNION ALL SELECT issue_id, body FROM jira_comments WHERE issue_id IS NOT NULL UNION ALL SELECT issue_id, text FROM documents JOIN jira_issues ON key = task_key),
+    f AS (SELECT DISTINCT issue_id, unnest(regexp_extract_all(coalesce(text, ''), '(?i)https?://[^/\s]+/([^\s]+?/pull/\d+)', 1)) AS r FROM t)
+    SELECT issue_id, replace(r, '/pull/', '#') AS ref, 'https://github.com/' || r AS url FROM f""",
+    "ticket_refs": r"""WITH t AS (SELECT issue_id, summary AS text FROM jira_issues UNION ALL SELECT issue_id, description FROM jira_issues UNION ALL SELECT issue_id, body FROM jira_comments WHERE issue_id IS NOT NULL),
+    f AS (SELECT issue_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '\b([A-Z]{2,6}-\d+)\b', 1))) AS ticket FROM t)
+    SELECT issue_id, ticket, count(*) AS n FROM f JOIN jira_issues i USING (issue_id) WHERE i.key IS NULL OR i.key <> ticket GROUP BY ALL""",
     "composed_text": """WITH c AS (SELECT issue_id, string_agg(body, chr(10) || '---' || chr(10) ORDER BY place) AS said FROM (SELECT issue_id, body, row_number() OVER (PARTITION BY issue_id ORDER BY created DESC NULLS LAST, comment_id DESC) AS place FROM jira_comments WHERE trim(coalesce(body, '')) <> '') WHERE place <= 8 GROUP BY 1)
     SELECT issue_id, substr(concat_ws(chr(10) || chr(10), nullif(trim(summary), ''), 'Parent: ' || nullif(trim(parent_summary), ''), CASE WHEN len(labels) > 0 THEN 'Labels: ' || array_to_string(labels, ', ') END, nullif(trim(description), ''), 'Comments:' || chr(10) || said), 1, 6000) AS text FROM jira_issues LEFT JOIN c USING (issue_id)""",
     "table_text": "SELECT path, '| ' || concat_ws(' | ', replace(coalesce(name, ''), '|', '\\|'), replace(path, '|', '\\|'), files::VARCHAR, replace(coalesce(summary, ''), '|', '\\|')) || ' |' AS markdown, rpad(path, 30, ' ') || ' ' || lpad(files::VARCHAR, 6, ' ') AS fixed FROM modules",

@@ -104,3 +104,9 @@ def test_skew_join_equals_join(spark):
     for most in (0, 1000):
         got = skew_join(big, dim, "k", "w", 1100, share=0.3, most_rows=most)
         assert sorted(map(tuple, got.select("k", "v", "x").collect())) == want
+
+
+def test_addresses_percent_and_ends(spark):
+    df = spark.createDataFrame([("a/b#12", 0.125, "x/y.ts", "y.ts"), ("a/b", None, "xy.ts", "y.ts"), (None, 1.0, "y.ts", "a/y.ts")], "r string, s double, a string, b string")
+    got = [tuple(r) for r in df.select(T.pull_url(F.col("r")), T.percent(F.col("s")), T.ends_alike(F.col("a"), F.col("b"))).collect()]
+    assert got == [("https://github.com/a/b/pull/12", "12.5%", True), (None, None, False), (None, "100.0%", True)]
