@@ -2,14 +2,17 @@
 
 ``trust``: truth and annotators are estimated in turn until no item moves any more:
 
-* the weighted label distance of an annotator is the sum of squared differences between the labels given and the
+* a label is read as a measurement of the truth: an annotator's share of ups where the truth is down and where it is up
+  give an offset and a slope, and the label is calibrated with them. A voter who is mostly wrong has a negative slope
+  and counts reversed, one who always says the same has next to none and so a large error;
+* the weighted label distance of an annotator is the sum of squared differences between calibrated labels and the
   current truth; over the votes it is the error variance;
 * the variance gets an upper bound, the distance over a chi-squared quantile with as many degrees of freedom as there
   are votes, so a rarely seen annotator (the long tail) cannot get a high weight by luck;
-* the weight of an annotator is the reciprocal of that bound, the truth of an item the label mean under these
-  weights, which minimises the weighted distance.
+* the weight of an annotator is the reciprocal of that bound, the truth of an item the mean of calibrated labels under
+  these weights, which minimises the weighted distance, within 0 and 1.
 
-``discover`` is another form for voters who mostly vote wrong or always the same: a source is one user giving one
+``discover`` is another form: a source is one user giving one
 label, the weight the log ratio of the bounded variances of the reversed label and of the label as written, less what
 the label's base rate alone would give. Users who mostly vote wrong count reversed there, users who always give the same
 label count for nothing.
@@ -72,26 +75,28 @@ class Progress:
     converged: bool
 
 
-def trust(votes: DataFrame, rounds: int = 40, least_move: float = 1e-2) -> tuple[DataFrame, DataFrame, Progress]:
+def trust(votes: DataFrame, rounds: int = 60, least_move: float = 2e-2, steady: float = 2.0, least_slope: float = 0.02) -> tuple[DataFrame, DataFrame, Progress]:
     """(items, annotators, progress) from ``last_votes``.
 
-    items: item_id, n, n_up, p_up (weighted mean of the labels, 1 for up). annotators: voter, n, distance, weight,
-    reliability (1 - the bounded share of error, at least 0). Ends when no p_up moves by ``least_move``; a warning tells if ``rounds`` were not enough.
+    items: item_id, n, n_up, p_up (weighted mean of the calibrated labels, 1 for up). annotators: voter, n, offset, slope, distance,
+    weight, reliability (the share of votes that agree with the truth as found). ``steady`` votes, half of them right, steady
+    slopes and distances; a slope nearer to 0 than ``least_slope`` is moved there, so that its labels have a large but finite error.
+    Ends when no p_up moves by ``least_move``; a warning tells if ``rounds`` were not enough.
     Items of one vote count for the estimate too. An empty table gives empty frames. Each round aggregates before
     it shuffles; joins with heavy items or voters are split by ``skew_join``.
     """
     votes = cut(votes)
-    total = votes.count()
+    total, mean = votes.agg(F.count("*"), F.avg("up")).first()
     items = cut(votes.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("up").alias("n_up")).withColumn("p_up", F.col("n_up") / F.col("n")))
     done, moved = 0, math.inf if total else 0.0
     people = None
     while people is None or (done < rounds and moved >= least_move):
         seen = skew_join(votes, items.select("item_id", "n", "p_up"), "item_id", "n", total)
-        # two votes half right steady annotators with few votes
-        per = seen.groupBy("voter").agg(F.count("*").alias("n"), (F.sum(F.pow(F.col("up") - F.col("p_up"), 2)) + F.lit(1.0)).alias("distance"))
-        new_people = cut(per.withColumn("weight", chi2_lower(F.col("n").cast("double")) / F.col("distance")))
-        pull = skew_join(votes, new_people.select("voter", "n", "weight"), "voter", "n", total)
-        new = cut(pull.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("up").alias("n_up"), (F.sum(F.col("weight") * F.col("up")) / F.sum("weight")).alias("p_up")))
+        new_people = cut(_calibrated(seen, mean or 0.0, steady, least_slope))
+        pull = skew_join(votes, new_people.select("voter", "n", "offset", "slope", "weight"), "voter", "n", total)
+        label = (F.col("up") - F.col("offset")) / F.col("slope")
+        truth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.col("weight") * label) / F.sum("weight")))
+        new = cut(pull.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("up").alias("n_up"), truth.alias("p_up")))
         moved = new.join(items.select("item_id", F.col("p_up").alias("old")), "item_id").agg(F.max(F.abs(F.col("p_up") - F.col("old")))).first()[0] or 0.0
         drop_cut(items)
         if people is not None:
@@ -99,8 +104,27 @@ def trust(votes: DataFrame, rounds: int = 40, least_move: float = 1e-2) -> tuple
         items, people, done = new, new_people, done + 1
     if moved >= least_move:
         warnings.warn(f"not settled after {done} rounds: an item moved by {moved:.4f}", stacklevel=2)
-    reliability = F.greatest(F.lit(0.0), 1 - F.try_divide(F.lit(1.0), F.col("weight")))
-    return items, people.withColumn("reliability", reliability), Progress(done, moved, moved < least_move)
+    return items, people, Progress(done, moved, moved < least_move)
+
+
+def _calibrated(seen: DataFrame, mean: float, steady: float, least_slope: float) -> DataFrame:
+    """voter, n, offset, slope, distance, weight, reliability of votes (voter, up, p_up); one aggregate, as the distance follows from sums."""
+    y, p, n = F.col("up"), F.col("p_up"), F.col("n")
+    sums = seen.groupBy("voter").agg(F.count("*").alias("n"), F.sum(y).alias("ups"), F.sum(p).alias("ps"), F.sum(y * p).alias("both"), F.sum(p * p).alias("squares"))
+    # steadying votes: half of them right, half at the mean label
+    low = (F.col("ups") - F.col("both") + steady * mean / 2) / (n - F.col("ps") + steady)
+    high = (F.col("both") + steady * (1 + mean) / 2) / (F.col("ps") + steady)
+    sums = sums.withColumn("slope", high - low)
+    away = F.when(F.abs("slope") >= least_slope, F.col("slope")).when(F.col("slope") < 0, -least_slope).otherwise(least_slope)
+    # the mean label stands for the mean truth of the voter's items
+    sums = sums.withColumn("slope", away).withColumn("offset", (F.col("ups") - F.col("slope") * F.col("ps")) / n)
+    square = F.col("slope") * F.col("slope")
+    labels = (F.col("ups") - 2 * F.col("offset") * F.col("ups") + n * F.col("offset") * F.col("offset")) / square
+    cross = (F.col("both") - F.col("offset") * F.col("ps")) / F.col("slope")
+    distance = F.greatest(labels - 2 * cross + F.col("squares"), F.lit(0.0)) + steady * max(mean * (1 - mean), 0.01) / square
+    right = (2 * F.col("both") + n - F.col("ups") - F.col("ps")) / n
+    out = sums.withColumn("distance", distance).withColumn("weight", chi2_lower(n.cast("double")) / F.col("distance"))
+    return out.select("voter", "n", "offset", "slope", "distance", "weight", right.alias("reliability"))
 
 
 def discover(votes: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:

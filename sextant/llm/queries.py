@@ -53,11 +53,11 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reliability of each user."""
     people = C.trust(C.last_votes(table(spark, sf_dir, "feedback")))[1]
-    return people.select("voter", F.col("n").alias("n_votes"), "distance", "weight", "reliability")
+    return people.select("voter", F.col("n").alias("n_votes"), "offset", "slope", "distance", "weight", "reliability")
 
 
 def p4_users_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same where each label of a user is a source of its own, for voters who mostly vote wrong or always the same."""
+    """The same where each label of a user is a source of its own."""
     return C.reliability(C.discover(C.last_votes(table(spark, sf_dir, "feedback")))[1])
 
 

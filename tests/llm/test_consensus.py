@@ -65,7 +65,36 @@ def test_named_weighting(spark):
     by = {r.voter: r for r in people.collect()}
     assert by["good0"].weight > 4 * by["coin0"].weight and by["good0"].weight > 10 * by["once0"].weight
     assert by["good0"].reliability > 0.8 > by["coin0"].reliability >= 0
+    assert by["good0"].slope > 0.7 > by["coin0"].slope
     chi = {r.n: r.q for r in people.select("n", C.chi2_lower(F.col("n").cast("double")).alias("q")).distinct().collect()}
     assert all(abs(r.weight - chi[r.n] / r.distance) < 1e-9 for r in by.values())
     empty, nobody, progress = C.trust(C.last_votes(votes(spark, rows)).limit(0))
     assert empty.count() == 0 and nobody.count() == 0 and progress.converged
+
+
+def test_named_weighting_reverses_and_discounts(spark):
+    """Voters who are mostly wrong count reversed, one who always says the same counts for almost nothing; the distance is that of the calibrated labels."""
+    rng = np.random.default_rng(5)
+    rows, truth = [], {}
+    for i in range(200):
+        t = int(rng.random() < 0.6)
+        truth[i] = "up" if t else "down"
+        say = lambda p: "up" if (t if rng.random() < p else 1 - t) else "down"  # noqa: E731, B023
+        rows += [(i, say(0.95), f"good{u}", "2024-01-01") for u in range(3)] + [(i, say(0.15), f"bad{u}", "2024-01-01") for u in range(2)] + [(i, "up", f"always{u}", "2024-01-01") for u in range(3)]
+    found = C.last_votes(votes(spark, rows))
+    items, people, progress = C.trust(found)
+    got = {r.item_id: r.consensus for r in C.consensus(items).collect()}
+    assert progress.converged and sum(got[i] == truth[i] for i in truth) > 0.97 * len(truth)
+    by = {r.voter: r for r in people.collect()}
+    assert by["bad0"].slope < -0.4 and by["good0"].weight > 20 * by["always0"].weight
+    again = {r.voter: r for r in C._calibrated(found.join(items, "item_id"), 0.7, 2.0, 0.02).collect()}
+    each = found.join(items, "item_id").where("voter = 'bad0'").collect()
+    b = again["bad0"]
+    assert abs(b.distance - 2 * 0.21 / b.slope**2 - sum(((r.up - b.offset) / b.slope - r.p_up) ** 2 for r in each)) < 1e-6
+
+
+def test_unanimous_votes_stay(spark):
+    """Where nobody disagrees the verdict is the one given, whatever it is."""
+    for verdict in ("up", "down"):
+        items, _, progress = C.trust(C.last_votes(votes(spark, [(i, verdict, f"u{u}", None) for i in range(4) for u in range(3)])))
+        assert progress.converged and {r.consensus for r in C.consensus(items).collect()} == {verdict}
