@@ -92,3 +92,9 @@ def flatten_rich_text(c: Column, lines: bool = True) -> Column:
         return texts.map(one)
 
     return run(c)
+
+
+def non_blank_strings(c: Column) -> Column:
+    """The non-blank strings of a JSON array; an empty array for anything else."""
+    kept = F.filter(F.from_json(c, "array<string>"), lambda x: F.trim(x) != "")
+    return F.coalesce(kept, F.array().cast("array<string>"))

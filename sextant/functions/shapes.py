@@ -59,3 +59,31 @@ def table_row(*cells: Column) -> Column:
 def fixed_width(cells: list[tuple[Column, int]]) -> Column:
     """Text cells padded right, those with a negative width padded left."""
     return F.concat_ws(" ", *(F.rpad(F.coalesce(c.cast("string"), F.lit("")), w, " ") if w > 0 else F.lpad(F.coalesce(c.cast("string"), F.lit("")), -w, " ") for c, w in cells))
+
+
+def diff_text(title: Column, files: Column, no_patch: str = "(no patch)") -> Column:
+    """A change as text: its title, a blank line, then each file in order with its counts and its patch.
+
+    ``files``: array of struct(f, status, add, del, patch), may be NULL or empty; a NULL status is left out, a file without
+    a patch has the sign ``no_patch``.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+
+    def block(x: Column) -> Column:
+        marks = F.concat_ws(", ", x["status"], F.concat(F.lit("+"), number(x["add"]), F.lit("/-"), number(x["del"])))
+        body = F.coalesce(F.nullif(x["patch"], F.lit("")), F.lit(no_patch))
+        return F.concat(F.lit("### "), F.coalesce(x["f"], F.lit("")), F.lit(" ("), marks, F.lit(")\n"), body, F.lit("\n\n"))
+
+    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(F.array_join(F.transform(files, block), ""), F.lit("")))
+
+
+def fold_messages(messages: Column) -> Column:
+    """struct(first_system, last_system, others, said) of an array of struct(role, content): the first and the last system message
+    ('' if there is none), all other messages in order, and their contents joined by blank lines. NULL counts as empty.
+    """
+    system = F.filter(messages, lambda m: m["role"] == "system")
+    others = F.filter(messages, lambda m: ~F.coalesce(m["role"] == "system", F.lit(False)))
+    content = lambda m: F.coalesce(m["content"], F.lit(""))
+    first, last = (F.coalesce(F.get(F.transform(system, content), at), F.lit("")) for at in (F.lit(0), F.size(system) - 1))
+    said = F.coalesce(F.array_join(F.transform(others, content), "\n\n"), F.lit(""))
+    return F.struct(first.alias("first_system"), last.alias("last_system"), others.alias("others"), said.alias("said"))

@@ -38,6 +38,16 @@ def cap_truncate(sizes: Column, cap: int, marker: int = 0) -> Column:
     return _fold(sizes, lambda used, n: (F.when(used + n <= cap, n).otherwise(F.greatest(room(used) - marker, F.lit(0))), F.when(used + n <= cap, used + n).otherwise(F.lit(cap))))
 
 
+def cap_each(sizes: Column, each: int, cap: int) -> Column:
+    """What is kept of each part: at most ``each``, and no more than what is left of ``cap``."""
+
+    def step(used: Column, n: Column) -> tuple[Column, Column]:
+        kept = F.greatest(F.least(n, F.lit(each), F.lit(cap) - used), F.lit(0))
+        return kept, used + kept
+
+    return _fold(sizes, step)
+
+
 def commentable_lines(patch: Column) -> Column:
     """New-file line numbers of added and context lines of a unified diff; lines before the first hunk count from 0; NULL and empty give an empty array."""
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("out")).cast("struct<next:int,out:array<int>>")

@@ -89,3 +89,14 @@ def representatives(changes: DataFrame) -> DataFrame:
 def size_class(lines: Column) -> Column:
     """P under 150 lines, M up to 600, else G."""
     return F.when(lines < 150, "P").when(lines <= 600, "M").otherwise("G")
+
+
+def newest_then(changes: DataFrame, order: list[Column], n: int, keep: Column) -> DataFrame:
+    """Of the first ``n`` rows in ``order`` those that ``keep`` holds for: the limit comes before the filter. A top-n by partition, then one merge."""
+    return changes.orderBy(*order).limit(n).where(keep)
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, str | int | float]) -> DataFrame:
+    """``df`` with these values where a column is NULL; a column that is not there is added. Other columns stay as they are."""
+    plain = {c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()}
+    return df.withColumns(plain)

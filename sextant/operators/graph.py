@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from sextant.operators.changes import top_per
 from sextant.operators.paths import ancestors, longest_prefix
 from sextant.runtime import cut, drop_cut, sized, skew_join
 
@@ -133,3 +137,64 @@ def code_graph(files: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFr
     found = found.join(files.select(F.col("path").alias("dst"), F.lit(True).alias("known")).distinct(), "dst", "left")
     counts = found.agg(F.count("*").alias("total_refs"), F.count_if(F.col("known").isNull()).alias("unresolved"))
     return found.where("known and path <> dst").select(F.col("path").alias("src"), "dst").distinct(), counts
+
+
+_PUBLIC = re.compile(r"\bpublic\b[^;{}()]*\bfunction\b[^;{]*\{")
+_BRACE = re.compile(r"[{}]")
+
+
+def public_members(content: Column, most: int = 4000, marker: str = "\n/* ... */") -> Column:
+    """The public functions of a source text with their bodies, parted by blank lines, until ``most`` characters are reached.
+
+    The one that exceeds them is cut and marked; a body that does not end is left out, as are functions inside a body that was
+    taken. NULL and texts without public functions give ''.
+    """
+
+    def end_of(text: str, start: int) -> int | None:
+        depth = 0
+        for brace in _BRACE.finditer(text, start):
+            depth += 1 if brace[0] == "{" else -1
+            if not depth:
+                return brace.end()
+        return None
+
+    def members(text: str | None) -> str:
+        parts, used, at = [], 0, 0
+        while used < most and (head := _PUBLIC.search(text or "", at)):
+            end = end_of(text, head.end() - 1)
+            if end is not None:
+                body = text[head.start() : end]
+                parts.append(body if len(body) <= most - used else body[: most - used] + marker)
+                used += len(parts[-1])
+            at = end or head.end()
+        return "\n\n".join(parts)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(members)
+
+    return run(content)
+
+
+def module_classes(owners: DataFrame, contents: DataFrame) -> DataFrame:
+    """(path, f, namespace, name, methods): the classes of each module's PHP files; files without content or class have no row.
+
+    ``owners``: f, path (see ``longest_prefix``); ``contents``: f, content.
+    """
+    php = contents.where(F.endswith("f", F.lit(".php"))).select("f", php_members(F.col("content")).alias("c")).where("c is not null")
+    return owners.join(php, "f").select("path", "f", "c.*")
+
+
+def module_blocks(classes: DataFrame, files: DataFrame, most_classes: int = 8, most_methods: int = 6) -> DataFrame:
+    """(path, block): a text for each module of ``files`` (f, path): its path, its number of files and its classes with the most methods.
+
+    Classes with equally many methods come by file name. Modules without classes have the first two lines only.
+    """
+    first = top_per(classes.withColumn("m", F.size("methods")), ["path"], [F.desc("m"), F.col("f")], most_classes)
+    # The words of a module's lines.
+    shown = F.coalesce(F.nullif(F.array_join(F.slice("methods", 1, most_methods), ", "), F.lit("")), F.lit("sem métodos públicos"))
+    line = F.concat(F.lit("  CLASSE: "), F.coalesce(F.concat("namespace", F.lit("\\")), F.lit("")), "name", F.lit(" ("), shown, F.lit(")"))
+    lines = first.withColumn("line", line).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    counts = files.groupBy("path").agg(F.count_distinct("f").alias("n"))
+    block = F.concat_ws("\n", F.concat(F.lit("MODULE_PATH: "), "path"), F.concat(F.lit("FILES: "), F.col("n").cast("string")), "lines")
+    return counts.join(lines, "path", "left").select("path", block.alias("block"))

@@ -131,3 +131,15 @@ def evaluate(ranked: DataFrame, gold: DataFrame, cases: DataFrame, by: list[str]
     none = lambda c: F.when(n == 0, 1.0).otherwise(c)
     h = lambda k: F.coalesce(F.col(f"h{k}"), F.lit(0))
     return full.select(*by, n.alias("n_gold"), *(none(h(k) / F.nullif(n, F.lit(0))).alias(f"recall_{k}") for k in ks), *(none(F.when(h(k) > 0, 1.0).otherwise(0.0)).alias(f"hit_{k}") for k in ks), none(F.coalesce("ap", F.lit(0.0)) / F.nullif(F.least(n, F.lit(10)), F.lit(0))).alias("ap_10"))
+
+
+def allowed_answers(answers: DataFrame, allowed: DataFrame, by: str, low: float = 0.0, high: float = 10.0) -> DataFrame:
+    """``by``, path, score: the members of each answer that are among the allowed paths of its group, scores within bounds.
+
+    ``answers``: ``by``, answer (JSON array of {path, score}); ``allowed``: ``by``, path. What is no such array gives no rows; a path
+    that an answer names twice keeps its highest score; a score that is no number counts as ``low``.
+    """
+    rows = answers.select(by, F.explode(F.from_json("answer", "array<struct<path string, score string>>")).alias("a")).where("a.path is not null")
+    score = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.coalesce(F.col("a.score").try_cast("double"), F.lit(float(low)))))
+    best = rows.groupBy(by, F.col("a.path").alias("path")).agg(F.max(score).alias("score"))
+    return best.join(allowed.select(by, "path").distinct(), [by, "path"], "left_semi")

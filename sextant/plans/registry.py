@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with a dict QUERIES and a dict SQL.
-MODULES = ("history", "ranking", "operations", "texts", "nested")
+MODULES = ("history", "ranking", "operations", "texts", "nested", "reviews")
 
 
 def _all(what: str) -> dict:

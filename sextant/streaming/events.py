@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +26,15 @@ def first_in_window(events: DataFrame, keys: list[str], late: str = "7 days") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def fan_out(events: DataFrame, targets: Column, name: str, when: Column | None = None) -> DataFrame:
+    """One update for each distinct member of the array ``targets`` of each event (for which ``when`` holds); events without any give none.
+
+    Without state, so the same for a table and a stream.
+    """
+    rows = events if when is None else events.where(when)
+    return rows.withColumn(name, F.explode(F.array_distinct(targets))).where(F.col(name).isNotNull())
+
+
 def by_day(events: DataFrame, late: str | None = None) -> DataFrame:
     """Events, errors and value by UTC day and kind; with ``late`` as a stream whose days close after that time."""
     e = events.withWatermark("ts", late) if late else events
