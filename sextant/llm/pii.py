@@ -81,14 +81,16 @@ ADDRESS.append(re.compile(rf"(?<![\w/.-])[A-ZÀ-Ý][^\W\d_]+(?: (?:d[aeo]s? )?[A
 STREET_WORDS = set("rua r av avenida travessa tv praca pca alameda al largo estrada rodovia calle c avda plaza paseo rue boulevard piazza viale corso".split())
 ORDINARY |= STREET_WORDS
 MACHINES = ("git", "ssh", "hg", "svn")
+# begins where a run of letters begins and takes all of it, so that runs of any length are read once
+_LOCAL = r"(?<![\w.+%-])[\w.+%-]++"
 _HOST = r"[\w-]+(?:\.[\w-]+)+"
 EMAIL = [
-    re.compile(rf"[\w.+%-]+@{_HOST}"),
-    re.compile(r"[\w.+%-]+ ?[\[({] ?(?:at|arroba|@) ?[\])}] ?[\w-]+(?:(?:\.| ?[\[({] ?(?:dot|ponto|punto) ?[\])}] ?| (?:dot|ponto|punto) )[\w-]+)+", re.I),
-    re.compile(r"[\w.+%-]+ (?:at|arroba) [\w-]+(?: (?:dot|ponto|punto) [\w-]+)+", re.I),
+    re.compile(_LOCAL + "@" + _HOST),
+    re.compile(_LOCAL + r" ?[\[({] ?(?:at|arroba|@) ?[\])}] ?[\w-]+(?:(?:\.| ?[\[({] ?(?:dot|ponto|punto) ?[\])}] ?| (?:dot|ponto|punto) )[\w-]+)+", re.I),
+    re.compile(_LOCAL + r" (?:at|arroba) [\w-]+(?: (?:dot|ponto|punto) [\w-]+)+", re.I),
 ]
 #: What a text must hold for each of the patterns to be tried.
-EMAIL_SIGNS = [("@",), ("at", "arroba", "@"), (" at ", " arroba ")]
+EMAIL_SIGNS = [re.compile("@"), re.compile(r"[\[({] ?(?:at|arroba|@)", re.I), re.compile(" (?:at|arroba) ", re.I)]
 NUMBER = re.compile(r"(?<![\w.,/-])(?:[+(]\s?)?\d(?:[ .\-/()]{0,2}\d)*(?:-[Xx])?(?!-?\w|[.,/]\d)")
 PASSPORT = re.compile(r"(?<![\w-])[A-Z]{1,3}\d{6,8}(?![\w-])")
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -204,9 +206,8 @@ def _number_form(s: str) -> tuple[float, ...]:
 def candidates(text: str, is_author: bool, names: Names) -> list[Span]:
     """All proposed spans; they may overlap. Whole text, however long."""
     out: list[Span] = []
-    low = text.lower()
     for i, rx in enumerate(EMAIL):
-        if not any(x in low for x in EMAIL_SIGNS[i]):
+        if not EMAIL_SIGNS[i].search(text):
             continue
         for m in rx.finditer(text):
             local = re.match(r"[\w.+%-]+", m.group()).group().lower()
@@ -395,7 +396,12 @@ class Detector:
         return boosting.sigmoid(a * self.trees[kind].logit(x) + b)
 
     def find(self, rows: list[tuple[str, bool]]) -> list[list[tuple[str, int, int, float]]]:
-        """(kind, start, end, confidence) of each text, without overlaps, in order."""
+        """(kind, start, end, confidence) of each text, without overlaps, in order. Equal texts are read once."""
+        distinct = list(dict.fromkeys(rows))
+        found = dict(zip(distinct, self._find(distinct)))
+        return [found[r] for r in rows]
+
+    def _find(self, rows: list[tuple[str, bool]]) -> list[list[tuple[str, int, int, float]]]:
         spans = [candidates(t, a, self.names) for t, a in rows]
         by_kind: dict[str, list[tuple[int, Span]]] = defaultdict(list)
         for i, found in enumerate(spans):
