@@ -1,6 +1,6 @@
 """Consensus from several annotators: confidence-aware truth discovery.
 
-``trust``: truth and annotators are estimated in turn until no item moves any more:
+``trust``: truth and annotators are estimated in turn until the items hardly move any more:
 
 * a label is read as a measurement of the truth: an annotator's share of ups where the truth is down and where it is up
   give an offset and a slope, and the label is calibrated with them. A voter who is mostly wrong has a negative slope
@@ -68,20 +68,21 @@ def _log_odds(p: float) -> float:
 
 @dataclass(frozen=True)
 class Progress:
-    """How an estimate ended: rounds made and how far the last one moved the item that moved most."""
+    """How an estimate ended: rounds made and how far the last one moved the items in the mean."""
 
     rounds: int
     moved: float
     converged: bool
 
 
-def trust(votes: DataFrame, rounds: int = 60, least_move: float = 2e-2, steady: float = 2.0, least_slope: float = 0.02) -> tuple[DataFrame, DataFrame, Progress]:
+def trust(votes: DataFrame, rounds: int = 40, least_move: float = 1e-3, steady: float = 2.0, least_slope: float = 0.02, least_variance: float = 0.1) -> tuple[DataFrame, DataFrame, Progress]:
     """(items, annotators, progress) from ``last_votes``.
 
     items: item_id, n, n_up, p_up (weighted mean of the calibrated labels, 1 for up). annotators: voter, n, offset, slope, distance,
     weight, reliability (the share of votes that agree with the truth as found). ``steady`` votes, half of them right, steady
     slopes and distances; a slope nearer to 0 than ``least_slope`` is moved there, so that its labels have a large but finite error.
-    Ends when no p_up moves by ``least_move``; a warning tells if ``rounds`` were not enough.
+    ``least_variance`` is added to the error variance of all, else those who agree most with the truth found set it alone in the end.
+    Ends when p_up moves by less than ``least_move`` in the mean of all items; a warning tells if ``rounds`` were not enough.
     Items of one vote count for the estimate too. An empty table gives empty frames. Each round aggregates before
     it shuffles; joins with heavy items or voters are split by ``skew_join``.
     """
@@ -92,22 +93,22 @@ def trust(votes: DataFrame, rounds: int = 60, least_move: float = 2e-2, steady:
     people = None
     while people is None or (done < rounds and moved >= least_move):
         seen = skew_join(votes, items.select("item_id", "n", "p_up"), "item_id", "n", total)
-        new_people = cut(_calibrated(seen, mean or 0.0, steady, least_slope))
+        new_people = cut(_calibrated(seen, mean or 0.0, steady, least_slope, least_variance))
         pull = skew_join(votes, new_people.select("voter", "n", "offset", "slope", "weight"), "voter", "n", total)
         label = (F.col("up") - F.col("offset")) / F.col("slope")
         truth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.col("weight") * label) / F.sum("weight")))
         new = cut(pull.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("up").alias("n_up"), truth.alias("p_up")))
-        moved = new.join(items.select("item_id", F.col("p_up").alias("old")), "item_id").agg(F.max(F.abs(F.col("p_up") - F.col("old")))).first()[0] or 0.0
+        moved = new.join(items.select("item_id", F.col("p_up").alias("old")), "item_id").agg(F.avg(F.abs(F.col("p_up") - F.col("old")))).first()[0] or 0.0
         drop_cut(items)
         if people is not None:
             drop_cut(people)
         items, people, done = new, new_people, done + 1
     if moved >= least_move:
-        warnings.warn(f"not settled after {done} rounds: an item moved by {moved:.4f}", stacklevel=2)
+        warnings.warn(f"not settled after {done} rounds: items moved by {moved:.4f}", stacklevel=2)
     return items, people, Progress(done, moved, moved < least_move)
 
 
-def _calibrated(seen: DataFrame, mean: float, steady: float, least_slope: float) -> DataFrame:
+def _calibrated(seen: DataFrame, mean: float, steady: float, least_slope: float, least_variance: float) -> DataFrame:
     """voter, n, offset, slope, distance, weight, reliability of votes (voter, up, p_up); one aggregate, as the distance follows from sums."""
     y, p, n = F.col("up"), F.col("p_up"), F.col("n")
     sums = seen.groupBy("voter").agg(F.count("*").alias("n"), F.sum(y).alias("ups"), F.sum(p).alias("ps"), F.sum(y * p).alias("both"), F.sum(p * p).alias("squares"))
@@ -121,7 +122,7 @@ def _calibrated(seen: DataFrame, mean: float, steady: float, least_slope: float)
     square = F.col("slope") * F.col("slope")
     labels = (F.col("ups") - 2 * F.col("offset") * F.col("ups") + n * F.col("offset") * F.col("offset")) / square
     cross = (F.col("both") - F.col("offset") * F.col("ps")) / F.col("slope")
-    distance = F.greatest(labels - 2 * cross + F.col("squares"), F.lit(0.0)) + steady * max(mean * (1 - mean), 0.01) / square
+    distance = F.greatest(labels - 2 * cross + F.col("squares"), F.lit(0.0)) + steady * max(mean * (1 - mean), 0.01) / square + least_variance * n
     right = (2 * F.col("both") + n - F.col("ups") - F.col("ps")) / n
     out = sums.withColumn("distance", distance).withColumn("weight", chi2_lower(n.cast("double")) / F.col("distance"))
     return out.select("voter", "n", "offset", "slope", "distance", "weight", right.alias("reliability"))

@@ -87,10 +87,10 @@ def test_named_weighting_reverses_and_discounts(spark):
     assert progress.converged and sum(got[i] == truth[i] for i in truth) > 0.97 * len(truth)
     by = {r.voter: r for r in people.collect()}
     assert by["bad0"].slope < -0.4 and by["good0"].weight > 20 * by["always0"].weight
-    again = {r.voter: r for r in C._calibrated(found.join(items, "item_id"), 0.7, 2.0, 0.02).collect()}
+    again = {r.voter: r for r in C._calibrated(found.join(items, "item_id"), 0.7, 2.0, 0.02, 0.1).collect()}
     each = found.join(items, "item_id").where("voter = 'bad0'").collect()
     b = again["bad0"]
-    assert abs(b.distance - 2 * 0.21 / b.slope**2 - sum(((r.up - b.offset) / b.slope - r.p_up) ** 2 for r in each)) < 1e-6
+    assert abs(b.distance - 2 * 0.21 / b.slope**2 - 0.1 * b.n - sum(((r.up - b.offset) / b.slope - r.p_up) ** 2 for r in each)) < 1e-6
 
 
 def test_unanimous_votes_stay(spark):
