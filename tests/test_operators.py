@@ -84,6 +84,24 @@ def test_similar_against_brute_force(spark):
     assert {r.query_id for r in got} == {1, 2}
 
 
+def test_similar_meets_groups_and_leaves_out_own_entries(spark):
+    rng = random.Random(2)
+    words = ["fila", "nota", "caixa", "tela", "saldo"]
+    key = lambda i: rng.choice([None, "k1", "k2", f"k{i}"]) if i % 3 else "k1"
+    entries = [(i, key(i), " ".join([*rng.sample(words, 1 + i % 4), f"nome{i}"])) for i in range(400)]
+    q = [(1, "k1", "fila nota nome7"), (2, None, "saldo tela caixa"), (3, "k2", "fila"), (4, "k1", "nenhuma")]
+    queries, of = spark.createDataFrame(q, "query_id bigint, q_key string, text string"), spark.createDataFrame(entries, "pr bigint, key string, text string")
+    got = S.similar(queries, of, 5, ("key", "q_key")).collect()
+    for qid, own, text in q:
+        a = set(text.split())
+        want = sorted((-round(len(a & set(t.split())) / len(a | set(t.split())), 9), pr) for pr, k, t in entries if a & set(t.split()) and (k is None or k != own))[:5]
+        assert [(-round(r.score, 9), r.pr) for r in sorted((r for r in got if r.query_id == qid), key=lambda r: r.place)] == want
+    # names that nobody asks for make no groups of their own, and a group is cut to what can be in a result
+    sets = of.selectExpr("pr", "key as _key", "split(text, ' ') as _s")
+    kept = S.grouped(sets, spark.createDataFrame([("fila",), ("nota",)], "_t string"), 2).groupBy("_g").count().collect()
+    assert len(kept) == 11 and all(r["count"] <= 4 for r in kept)
+
+
 def test_evaluation_identities(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "x", 1)], "query_id bigint, path string, place int")
     gold = spark.createDataFrame([(1, "b"), (1, "c"), (4, "z")], "query_id bigint, path string")
