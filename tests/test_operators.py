@@ -102,6 +102,14 @@ def test_similar_meets_groups_and_leaves_out_own_entries(spark):
     assert len(kept) == 11 and all(r["count"] <= 4 for r in kept)
 
 
+def test_representatives_carry_only_what_is_kept(spark):
+    rows = [("k", 1, "a", None, "2025-01-01", [("x", 1, 2)]), ("k", 2, "b", "B", "2025-01-02", [("x", 10, 0), ("y", 0, 5)]), (None, 3, "c", None, "2025-01-03", [])]
+    c = spark.createDataFrame(rows, "key string, pr bigint, title string, jiraTitle string, mergedAt string, files array<struct<f:string,add:bigint,del:bigint>>").withColumn("mergedAt", F.to_timestamp("mergedAt"))
+    got = C.representatives(C.latest(c.union(c)), ("pr", "title", "jiraTitle"))
+    assert got.columns == ["key", "pr", "title", "jiraTitle", "lines", "n_changes"]
+    assert [tuple(r) for r in got.collect()] == [("k", 2, "b", "B", 18, 2)]
+
+
 def test_evaluation_identities(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "x", 1)], "query_id bigint, path string, place int")
     gold = spark.createDataFrame([(1, "b"), (1, "c"), (4, "z")], "query_id bigint, path string")
