@@ -81,3 +81,8 @@ def test_accents_of_mixed_texts(spark):
     rows = [("plain", "plain"), ("São João", "Sao Joao"), ("São", "Sao"), ("É é ß 漢", "E e ß 漢"), ("", ""), (None, None)]
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, t string")
     assert [r[0] for r in df.orderBy("i").select(strip_diacritics(F.col("t"))).collect()] == [b for _, b in rows]
+
+
+def test_accents_are_looked_up_once(spark):
+    plan = spark.createDataFrame([("São",)], "t string").select(strip_diacritics(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
