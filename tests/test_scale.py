@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import strip_diacritics
 from sextant.operators import changes as C
+from sextant.operators import graph as G
 from sextant.operators import search as S
 from sextant.plans.ranking import _touched
 
@@ -86,3 +87,16 @@ def test_accents_of_mixed_texts(spark):
 def test_accents_are_looked_up_once(spark):
     plan = spark.createDataFrame([("São",)], "t string").select(strip_diacritics(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1
+
+
+def test_small_graphs_are_walked_without_a_job_a_step(spark, monkeypatch):
+    nodes = spark.createDataFrame([(x,) for x in ("a", "b", "c", "d", "e", "e", None)], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "a"), ("c", "c"), ("d", "a"), ("d", "x"), (None, "a")], "src string, dst string")
+    written, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda *a: written.append(a) or cut(*a))
+    got = lambda: {r.id: round(r["rank"], 12) for r in G.page_rank(nodes, edges).collect()}
+    small = got()
+    assert len(written) <= 2 and len(small) == 5 and G.page_rank(nodes, edges.limit(0)).count() == 5 and G.page_rank(nodes.limit(0), edges).count() == 0
+    assert G.page_rank(nodes, edges).dtypes == [("id", "string"), ("rank", "double")]
+    monkeypatch.setattr(G, "SMALL_GRAPH", 0)
+    assert got() == small
