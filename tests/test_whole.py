@@ -21,3 +21,8 @@ def test_dominant_signal_ranks_for_every_issue(spark, con, small):
     got = {r[0] for r in registry.queries()["dominant_signal"](spark, small).select("query_id").distinct().collect()}
     want = {r[0] for r in con.execute(f"SELECT DISTINCT query_id FROM ({registry.oracle_sql()['dominant_signal']})").fetchall()}
     assert got == want and got <= ids and any(i % 100 for i in got) and len(got) > len(ids) / 2
+
+
+def test_eval_recall_hit_ap_has_every_issue(spark, small):
+    got = [r[0] for r in registry.queries()["eval_recall_hit_ap"](spark, small).select("query_id").collect()]
+    assert sorted(got) == sorted(_ids(spark, small))
