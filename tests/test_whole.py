@@ -26,3 +26,9 @@ def test_dominant_signal_ranks_for_every_issue(spark, con, small):
 def test_eval_recall_hit_ap_has_every_issue(spark, small):
     got = [r[0] for r in registry.queries()["eval_recall_hit_ap"](spark, small).select("query_id").collect()]
     assert sorted(got) == sorted(_ids(spark, small))
+
+
+def test_evidence_ranks_for_every_issue(spark, con, small):
+    got = {r[0] for r in registry.queries()["evidence"](spark, small).select("query_id").distinct().collect()}
+    want = {r[0] for r in con.execute(f"SELECT DISTINCT query_id FROM ({registry.oracle_sql()['evidence']})").fetchall()}
+    assert got == want and any(i % 100 for i in got) and len(got) > len(_ids(spark, small)) / 2
